@@ -22,6 +22,8 @@ UNKNOWN = "und"
 DEPTH = 300
 #: Profiles are fitted on about so many documents of each language (all, if there are fewer).
 SAMPLE = 4000
+#: The model, a profile a language, lives on the driver and in each task; more languages are an error.
+MOST = 1000
 
 _LETTER: np.ndarray | None = None
 
@@ -84,8 +86,13 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", depth: int =
     About ``sample`` documents of a language are used, chosen by hash; how many rows a language has is
     counted first, over all of them. What comes to the driver is ``depth`` rows a language."""
     d = pick(docs, **{text: "string", lang: "string"}).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = d.groupBy(lang).agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))).alias("_share"))
-    d = d.join(share, lang).where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < F.col("_share") * (1 << 20)).select(lang, text)
+    sizes = d.groupBy(lang).count().limit(MOST + 1).collect()
+    if len(sizes) > MOST:
+        raise ValueError(f"more than {MOST} languages")
+    if not sizes:
+        return {}
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], int(min(1.0, sample / r[1]) * (1 << 20)))])
+    d = d.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < F.element_at(share, F.col(lang))).select(lang, text)
 
     def grams(batches):
         for b in pieces(batches, text):
