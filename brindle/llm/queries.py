@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import language, licenses, mixing, pii, quality
+from brindle.llm import language, licenses, mixing, near_duplicates, pii, quality
 from brindle.llm._tables import table
 
 
@@ -18,6 +18,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.link(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -31,8 +35,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op7_pii, op8_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op6_jaccard_join, op7_pii, op8_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle(), "op8_mixing": mixing.oracle()}
+    return {"op2_license_scan": licenses.oracle(), "op6_jaccard_join": near_duplicates.oracle(), "op8_mixing": mixing.oracle()}
