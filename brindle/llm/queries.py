@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import language, licenses, mixing, near_duplicates, pii, quality
+from brindle.llm import decontamination, language, licenses, mixing, near_duplicates, neighbours, pii, quality
 from brindle.llm._tables import table
 
 
@@ -18,6 +18,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.link(table(spark, sf_dir, "documents"))
 
@@ -35,7 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op6_jaccard_join, op7_pii, op8_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op4_neighbours, op5_decontamination, op6_jaccard_join, op7_pii, op8_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
