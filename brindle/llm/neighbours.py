@@ -1,13 +1,13 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the ordered list of its nearest pivots. Each vector is posted in the inverted
-file of each of its ``LISTED`` nearest pivots; a query reads the files of its own. Within them the
-footrule distance (the sum over pivots of how far their ranks are apart, absent ones counting as last)
-ranks the vectors; those within ``REACH`` of the largest footrule are reranked by their inner product,
-in double precision, on the original vectors. There is no cap on candidates.
+A vector is represented by the ordered list of its ``LENGTH`` nearest pivots. Each vector is posted in
+the inverted files of its ``POSTED`` nearest pivots; a query reads the files of its ``READ`` nearest.
+Within them the footrule distance (the sum over pivots of how far their ranks are apart, absent ones
+counting as last) ranks the vectors; those within ``REACH`` of the largest footrule are reranked by their
+inner product, in double precision, on the original vectors. There is no cap on candidates.
 
 Pivots are fitted on a bounded sample: the vectors with the least hashes, at most ``SAMPLE``, from which
-``pivots(n)`` are taken far apart. Every vector is indexed. A file with many vectors is cut into blocks
+``PIVOTS`` are taken far apart. Every vector is indexed. A file with many vectors is cut into blocks
 of about ``BLOCK``, and the queries that read it likewise, so a hot pivot is shared by many tasks.
 
 Defined results: null vectors, zero vectors, those with a null or non-finite component, of another
@@ -29,14 +29,14 @@ from brindle.session import stored
 
 K = 20
 SAMPLE = 20_000
-LISTED = 12
+PIVOTS = 96
+LENGTH = 24
+POSTED = 6
+READ = 16
 REACH = 0.8
 BLOCK = 4096
-
-
-def pivots(n: int) -> int:
-    """How many pivots n vectors get."""
-    return max(1, min(n, 1024, max(16, int(2 * math.sqrt(n) / 4))))
+#: Up to so many vectors, 16 pivots whose files all are read.
+FEW = 512
 
 
 def far_apart(sample: np.ndarray, m: int) -> np.ndarray:
@@ -53,41 +53,49 @@ def far_apart(sample: np.ndarray, m: int) -> np.ndarray:
 
 
 def _valid(df: DataFrame, vec: str) -> DataFrame:
-    """vec_id and vector (array of double, all finite, not zero), each different row once, of the commonest length."""
-    e = pick(df, vec_id="bigint", **{vec: "array<double>"}).withColumnRenamed(vec, "vec").where("vec_id is not null and size(vec) > 0")
+    """vec_id and vector (float or double as given, all finite, not zero), each different row once, of the commonest length."""
+    kind = df.schema[vec].dataType
+    kind = "array<float>" if kind.simpleString() == "array<float>" else "array<double>"
+    e = pick(df, vec_id="bigint", **{vec: kind}).withColumnRenamed(vec, "vec").where("vec_id is not null and size(vec) > 0")
     fine = F.forall("vec", lambda x: F.coalesce(x > float("-inf"), F.lit(False)) & (x < float("inf")) & ~F.isnan(x)) & F.exists("vec", lambda x: x != 0)
     e = e.where(fine)
     top = e.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return e.where(F.size("vec") == (top["d"] if top else 0)).distinct()
 
 
-def _matrix(col) -> np.ndarray:
+def _matrix(col, dtype=np.float64) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+    return col.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(col), -1)
 
 
 def permutations(vectors: DataFrame, pv: np.ndarray, listed: int) -> DataFrame:
     """vec_id, vec and order: the nearest pivots of each vector, nearest first, ties to the lower pivot."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<smallint>")
     def order(col: pa.Array) -> pa.Array:
         x = _matrix(col)
-        near = np.argsort(-(x @ pv.T), axis=1, kind="stable")[:, :listed].astype(np.int32) if len(x) else np.zeros((0, listed), np.int32)
+        near = np.argsort(-(x @ pv.T), axis=1, kind="stable")[:, :listed].astype(np.int16) if len(x) else np.zeros((0, listed), np.int16)
         return pa.ListArray.from_arrays(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1], near.ravel())
 
     return vectors.withColumn("order", order("vec"))
 
 
-def _footrule(q: np.ndarray, ranks: np.ndarray, rest: np.ndarray, listed: int) -> np.ndarray:
-    """Footrule distances of queries (rows of pivots) and vectors (rows of ranks, ``listed`` where absent)."""
-    out = np.zeros((len(q), len(ranks)), np.int32) + rest[None, :]
+def _footrule(q: np.ndarray, ranks: np.ndarray, listed: int) -> np.ndarray:
+    """Footrule distances of queries (rows of pivots) to vectors.
+
+    ``ranks`` has a row a pivot: its rank in each vector's list, ``listed`` where absent."""
+    out = np.full((len(q), ranks.shape[1]), listed * (listed + 1) // 2, np.int16)
     for i in range(listed):
-        r = ranks[:, q[:, i]].T
-        out += np.abs(r - i) - (listed - r)
+        r = ranks[q[:, i]]
+        out += r
+        r -= i
+        np.abs(r, out=r)
+        out += r
+        out -= listed
     return out
 
 
-def search(vectors: DataFrame, vec: str = "embedding", k: int = K, every: int = 20, listed: int = LISTED, reach: float = REACH, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, vec: str = "embedding", k: int = K, every: int = 20, pivots: int = PIVOTS, length: int = LENGTH, posted: int = POSTED, read: int = READ, reach: float = REACH, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found to each vector whose vec_id ``every`` divides."""
     e = stored(_valid(vectors, vec))
     n = e.count()
@@ -95,18 +103,19 @@ def search(vectors: DataFrame, vec: str = "embedding", k: int = K, every: int =
     if not n:
         return e.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = e.orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(SAMPLE).select("vec").collect()
-    pv = far_apart(np.array([r[0] for r in sample]), pivots(len(sample) if n <= SAMPLE else n))
-    m = len(pv)
-    listed = min(listed, m) if m > 16 else m
-    limit = reach * listed * (listed + 1) if m > 16 else 2 * listed * (listed + 1)
+    few = n <= FEW or len(sample) <= pivots
+    m = min(16, len(sample)) if few else pivots
+    pv = far_apart(np.array([r[0] for r in sample], float), m)
+    listed = m if few else length
+    limit = m * m * 2 if few else reach * listed * (listed + 1)
     p = stored(permutations(e, pv, listed))
-    posts = p.select("vec_id", "vec", "order", F.explode("order").alias("pivot"))
+    at = lambda n: p.select("vec_id", "vec", "order", F.explode("order" if few else F.slice("order", 1, n)).alias("pivot"))
     is_query = F.col("vec_id") % every == 0
-    files = stored(p.select(F.explode("order").alias("pivot"), is_query.alias("q")).groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("nq")))
+    files = stored(at(posted).select("pivot").groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).join(at(read).where(is_query).groupBy("pivot").agg(F.count(F.lit(1)).alias("nq")), "pivot"))
     files = files.select("pivot", F.ceil(F.col("n") / block).cast("int").alias("vb"), F.greatest(F.lit(1), F.ceil(F.col("nq") / block).cast("int")).alias("qb"))
-    f = F.broadcast(files)  # at most 1024 rows
-    right = posts.join(f, "pivot").withColumn("v", F.pmod(F.xxhash64("vec_id", "vec"), "vb")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
-    left = posts.where(is_query).join(f, "pivot").withColumn("u", F.pmod(F.xxhash64("vec_id"), "qb")).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)))
+    f = F.broadcast(files)  # one row a pivot
+    right = at(posted).join(f, "pivot").withColumn("v", F.pmod(F.xxhash64("vec_id", "vec"), "vb")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
+    left = at(read).where(is_query).join(f, "pivot").withColumn("u", F.pmod(F.xxhash64("vec_id"), "qb")).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)))
     cols = [F.col("pivot"), F.col("u").cast("int"), F.col("v").cast("int"), "vec_id", "vec", "order"]
 
     def rerank(q: pa.Table, x: pa.Table) -> pa.Table:
@@ -114,15 +123,15 @@ def search(vectors: DataFrame, vec: str = "embedding", k: int = K, every: int =
         if len(q) and len(x):
             qi, xi = q["vec_id"].to_numpy(), x["vec_id"].to_numpy()
             by = np.argsort(xi, kind="stable")
-            xi, xv, xo = xi[by], _matrix(x["vec"])[by], _matrix(x["order"])[by]
-            qv, qo = _matrix(q["vec"]), _matrix(q["order"])
-            ranks = np.full((len(xi), m), listed, np.int32)
-            np.put_along_axis(ranks, xo, np.arange(listed, dtype=np.int32)[None, :], 1)
-            full = np.int32(listed * (listed + 1) // 2)
-            for a in range(0, len(qi), 256):
-                far = _footrule(qo[a : a + 256], ranks, np.full(len(xi), full, np.int32), listed)
-                s = qv[a : a + 256] @ xv.T
-                s[(far > limit) | (xi[None, :] == qi[a : a + 256, None])] = -np.inf
+            xi, xv, xo = xi[by], _matrix(x["vec"])[by], _matrix(x["order"], np.int64)[by]
+            qv, qo = _matrix(q["vec"]), _matrix(q["order"], np.int64)
+            ranks = np.full((m, len(xi)), listed, np.int16)
+            ranks[xo.ravel(), np.repeat(np.arange(len(xi)), listed)] = np.tile(np.arange(listed, dtype=np.int16), len(xi))
+            step = max(1, (1 << 18) // len(xi))
+            for a in range(0, len(qi), step):
+                far = _footrule(qo[a : a + step], ranks, listed)
+                s = qv[a : a + step] @ xv.T
+                s[(far > limit) | (xi[None, :] == qi[a : a + step, None])] = -np.inf
                 c = min(k, s.shape[1])
                 least = np.partition(s, -c, axis=1)[:, -c]
                 for j in range(len(s)):
