@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm._tables import pick
@@ -188,18 +188,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = ITEMS) -> DataFram
     return out if out is not None else d.sparkSession.createDataFrame([], schema)
 
 
+def dirty(text: Column, items: Items) -> Column:
+    """Whether a text holds any of the items."""
+
+    @F.arrow_udf("boolean")
+    def run(col: pa.Array) -> pa.Array:
+        parts = [np.zeros(0, bool)]
+        for b in pieces([pa.RecordBatch.from_arrays([col], ["t"])], "t"):
+            hit = np.zeros(b.num_rows, bool)
+            hit[[r for r, *_ in items.find(b.column(0))]] = True
+            parts.append(hit)
+        return pa.array(np.concatenate(parts))
+
+    return run(text)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, block: int = ITEMS) -> DataFrame:
     """The rows of ``docs``, all columns, in whose text no benchmark item is found."""
     for items in _benchmarks(benchmark, block):
-
-        @F.arrow_udf("boolean")
-        def dirty(col: pa.Array, items=items) -> pa.Array:
-            parts = [np.zeros(0, bool)]
-            for b in pieces([pa.RecordBatch.from_arrays([col], ["t"])], "t"):
-                hit = np.zeros(b.num_rows, bool)
-                hit[[r for r, *_ in items.find(b.column(0))]] = True
-                parts.append(hit)
-            return pa.array(np.concatenate(parts))
-
-        docs = docs.where(~dirty(F.col("`text`").cast("string")))
+        docs = docs.where(~dirty(F.col("`text`").cast("string"), items))
     return docs
