@@ -1,0 +1,112 @@
+"""What turns texts into vectors: the protocol, and two embedders that need no model.
+
+An embedder has model_id, model_revision, task_adapter, pooling, full_dim, normalize_l2, release_url,
+release_sha256, prompts, and encode(texts, prompt=...). ``attach`` puts vectors beside chunks."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+FINGERPRINT = ("model_id", "task_adapter", "pooling", "full_dim")
+
+
+class Embedder:
+    """The base of embedders: subclasses give ``_vectors(texts)``."""
+
+    model_id = ""
+    model_revision = ""
+    task_adapter = "retrieval"
+    pooling = "mean"
+    full_dim = 0
+    normalize_l2 = True
+    release_url = None
+    release_sha256 = None
+
+    def __init__(self, prompts: dict[str, str] | None = None):
+        self.prompts = prompts or {"query": "", "document": ""}
+
+    def fingerprint(self) -> dict:
+        return {k: getattr(self, k) for k in FINGERPRINT}
+
+    def encode(self, texts: list[str], *, prompt: str = "document") -> np.ndarray:
+        """(n, full_dim) float32; no texts give no rows; an unknown prompt is an error."""
+        if prompt not in self.prompts:
+            raise ValueError(f"no prompt {prompt!r}")
+        if not texts:
+            return np.zeros((0, self.full_dim), np.float32)
+        x = self._vectors([self.prompts[prompt] + t for t in texts])
+        if self.normalize_l2:
+            n = np.linalg.norm(x, axis=1, keepdims=True)
+            x = x / np.where(n == 0, 1, n)
+        return x.astype(np.float32)
+
+    def attach(self, chunks: DataFrame, text: str = "text") -> DataFrame:
+        """``chunks`` with a ``vector`` column."""
+        e = self
+
+        @F.arrow_udf("array<float>")
+        def run(col: pa.Array) -> pa.Array:
+            x = e.encode([t or "" for t in col.to_pylist()])
+            return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * e.full_dim, x.ravel())
+
+        return chunks.withColumn("vector", run(F.col(text)))
+
+
+class HashEmbedder(Embedder):
+    """A seeded random vector for each distinct word longer than two letters, summed."""
+
+    model_id = "hashed-words"
+
+    def __init__(self, full_dim: int = 64, prompts: dict[str, str] | None = None):
+        super().__init__(prompts)
+        self.full_dim = full_dim
+        self._known: dict[str, np.ndarray] = {}
+
+    def _word(self, w: str) -> np.ndarray:
+        if w not in self._known:
+            if len(self._known) > 200_000:
+                self._known.clear()
+            seed = int.from_bytes(hashlib.sha256(w.encode()).digest()[:8], "little")
+            self._known[w] = np.random.default_rng(seed).standard_normal(self.full_dim)
+        return self._known[w]
+
+    def _vectors(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.full_dim))
+        for i, t in enumerate(texts):
+            for w in sorted({w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) > 2}):
+                out[i] += self._word(w)
+        return out
+
+    def __getstate__(self):
+        return self.__dict__ | {"_known": {}}
+
+
+class TableEmbedder(Embedder):
+    """Vectors that exist already, in a table by chunk id; queries are encoded by their id."""
+
+    model_id = "precomputed"
+
+    def __init__(self, table: DataFrame, full_dim: int, id: str = "chunk_id", vec: str = "embedding"):
+        super().__init__()
+        self.table, self.full_dim = table.select(F.col(id).cast("string").alias("_id"), F.col(vec).cast("array<float>").alias("vector")), full_dim
+
+    def encode(self, texts: list[str], *, prompt: str = "query") -> np.ndarray:
+        got = {r["_id"]: r["vector"] for r in self.table.where(F.col("_id").isin(*texts)).collect()}
+        return np.array([got[t] for t in texts], np.float32).reshape(len(texts), self.full_dim)
+
+    def attach(self, chunks: DataFrame, text: str = "text") -> DataFrame:
+        return chunks.join(self.table, chunks["chunk_id"] == F.col("_id")).drop("_id")
+
+
+def check_fingerprint(stored: dict, embedder) -> None:
+    """An index made with another embedder can't be searched with this one."""
+    mine = embedder.fingerprint()
+    off = {k: (stored.get(k), mine.get(k)) for k in FINGERPRINT if stored.get(k) != mine.get(k)}
+    if off:
+        raise ValueError(f"the index was made with another embedder: {off}")

@@ -1,15 +1,370 @@
-"""Named queries over the test tables, with the SQL that must agree."""
+"""Named queries over the test tables: one or more for each operator, over whole tables.
+
+The query text is the benchmark's first item, the query vector the first embedding; documents and
+embeddings with the same id are one row of a hybrid corpus. The second snapshot of the corpus leaves out
+one language, edits one source and adds the pages."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.functions import projection
+from brindle.functions import text as T
+from brindle.functions import vectors as V
+from brindle.functions.embedding import HashEmbedder
+from brindle.operators import chunking, dense, evaluation, fusion, lexical, mutation
+from brindle.operators.codecs import LevelCodec, SignCodec
+from brindle.plans import oracle
+from brindle.session import ready, shared_dir, stored
+from brindle.sources import documents as D
+
+DIM, STACKS, SEED = 32, 4, 42
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return ready(spark).read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark, sf) -> DataFrame:
+    return _t(spark, sf, "documents").select(F.col("doc_id").alias("row"), "text")
+
+
+def _emb(spark, sf) -> DataFrame:
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("row"), "embedding", "label")
+
+
+def _query_text(spark, sf) -> str:
+    return _t(spark, sf, "benchmark").orderBy("item_id").first()["text"]
+
+
+def _query_vector(spark, sf) -> np.ndarray:
+    return np.array(_emb(spark, sf).orderBy("row").first()["embedding"], np.float64)
+
+
+def _index(spark, sf) -> DataFrame:
+    return lexical.postings(_docs(spark, sf))
+
+
+def tokenize_docs(spark, sf):
+    t = T.tokens(F.col("text"))
+    return _docs(spark, sf).select(F.col("row").alias("doc_id"), F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+def term_df(spark, sf):
+    return lexical.term_counts(_docs(spark, sf)).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def doc_len_stats(spark, sf):
+    dl = lexical.lengths(_docs(spark, sf))
+    return lexical.stats(dl).crossJoin(dl.agg(F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl"))).withColumn("avgdl", F.round("avgdl", 6))
+
+
+def bm25_postings_impact(spark, sf):
+    return _index(spark, sf).select(F.col("row").alias("doc_id"), "token", "tf", F.round("impact", 6).alias("impact"))
+
+
+def bm25_search_top10(spark, sf):
+    s = lexical.search(_index(spark, sf), _query_text(spark, sf), 10)
+    return s.select(F.col("row").alias("doc_id"), F.round("score", 6).alias("score"), F.col("lex_rank").cast("long").alias("rank"))
+
+
+def bm25_batch_topk(spark, sf):
+    q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    s = lexical.search_many(_index(spark, sf), q, 5)
+    return s.select("qid", F.col("row").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def dense_knn_cosine(spark, sf):
+    s = dense.knn(_emb(spark, sf), _query_vector(spark, sf), 20)
+    return s.select(F.col("row").alias("vec_id"), F.round("dense_sim", 6).alias("sim"), F.col("dense_dist").cast("long").alias("dist"), F.col("dense_rank").cast("long").alias("rank"))
+
+
+def _medoids(spark, sf) -> DataFrame:
+    """One query a label: its first vector."""
+    return _emb(spark, sf).groupBy("label").agg(F.min_by("embedding", "row").alias("q"), F.min("row").alias("qid"))
+
+
+def _scored(spark, sf) -> DataFrame:
+    """qid, row, sim of every row for each of the (ten) labels' queries."""
+    q = F.broadcast(_medoids(spark, sf).select("qid", "q"))  # one row a label
+    return _emb(spark, sf).crossJoin(q).select("qid", "row", "label", "embedding", V.dot(F.col("embedding"), F.col("q")).alias("sim"))
+
+
+def dense_knn_batch(spark, sf):
+    s = dense.batch(_scored(spark, sf).withColumn("dist", V.angular(F.col("sim"))), 10, [F.col("dist"), F.col("row")])
+    return s.select("qid", F.col("row").alias("vec_id"), F.col("dist").cast("long").alias("dist"), F.col("dense_rank").cast("long").alias("rank"))
+
+
+def corpus_mean_vector(spark, sf):
+    return dense.mean_vector(_emb(spark, sf)).select(F.col("pos").cast("long").alias("pos"), F.round("mean", 8).alias("mean"))
+
+
+def _mean(spark, sf) -> list[float]:
+    return [r["mean"] for r in dense.mean_vector(_emb(spark, sf)).orderBy("pos").collect()]
+
+
+def centered_truncated(spark, sf):
+    c = V.centered(F.col("embedding"), V.array_of(_mean(spark, sf)), DIM)
+    e = _emb(spark, sf).select(F.col("row").alias("vec_id"), F.posexplode(c).alias("pos", "x"))
+    return e.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+def l2_normalized(spark, sf):
+    c = V.normalized(V.centered(F.col("embedding"), V.array_of(_mean(spark, sf)), DIM))
+    return _emb(spark, sf).select(F.col("row").alias("vec_id"), F.round(V.norm(c), 6).alias("norm"), F.round(F.get(c, F.lit(0)), 6).alias("first"))
+
+
+def label_centroids(spark, sf):
+    e = _emb(spark, sf).select("label", F.posexplode(V.doubles(F.col("embedding"))).alias("pos", "x"))
+    return e.groupBy("label", "pos").agg(F.round(F.avg("x"), 6).alias("mean")).select("label", F.col("pos").cast("long").alias("pos"), "mean")
+
+
+def _plane_frame(spark, q: np.ndarray) -> DataFrame:
+    j, d, e = np.indices(q.shape)
+    return spark.createDataFrame([(int(a), int(b), int(c), float(v)) for a, b, c, v in zip(j.ravel(), d.ravel(), e.ravel(), q.ravel())], "j long, d long, e long, v double")
+
+
+def rademacher_planes(spark, sf):
+    return _plane_frame(spark, projection.rademacher(8, 2, 0))
+
+
+def srht_planes(spark, sf):
+    return _plane_frame(spark, projection.srht(8, 2, 0, 2)).withColumn("v", F.round("v", 6))
+
+
+def int8_plane_scales(spark, sf):
+    c, s = projection.to_int8(projection.srht(8, 2, 0, 2).astype(np.float64))
+    return _plane_frame(spark, s[:, None, :]).select("j", "e", F.round("v", 6).alias("scale")).join(_plane_frame(spark, c.astype(float)).groupBy("j", "e").agg(F.sum(F.abs("v")).cast("long").alias("magnitude")), ["j", "e"])
+
+
+def _codec(spark, sf) -> SignCodec:
+    return SignCodec(DIM, STACKS, SEED, "rademacher", mean=_mean(spark, sf))
+
+
+def _codes(spark, sf) -> tuple[SignCodec, DataFrame]:
+    c = _codec(spark, sf)
+    return c, _emb(spark, sf).withColumn("code", c.column(F.col("embedding")))
+
+
+def simhash_codes(spark, sf):
+    _, e = _codes(spark, sf)
+    bits = F.array_join(F.transform("code", lambda w: F.lpad(F.bin(w), 64, "0")), "")
+    return e.select(F.col("row").alias("vec_id"), bits.alias("bits"))
+
+
+def hamming_scan_topk(spark, sf):
+    c, e = _codes(spark, sf)
+    s = dense.hamming_top(e, c.words(_query_vector(spark, sf)[None])[0], c.bits, 20)
+    return s.select(F.col("row").alias("vec_id"), F.col("dense_dist").cast("long").alias("dist"), F.round("dense_sim", 6).alias("sim"), F.col("dense_rank").cast("long").alias("rank"))
+
+
+def _hamming_all(spark, sf) -> DataFrame:
+    c, e = _codes(spark, sf)
+    e = stored(e.select("row", "label", "code"))
+    q = F.broadcast(_medoids(spark, sf).select("qid").join(e.select(F.col("row").alias("qid"), F.col("code").alias("q")), "qid"))  # one row a label
+    return e.crossJoin(q).select("qid", "row", "label", V.hamming(F.col("code"), F.col("q")).cast("long").alias("dist"))
+
+
+def hamming_batch_topk(spark, sf):
+    s = dense.batch(_hamming_all(spark, sf), 10, [F.col("dist"), F.col("row")])
+    return s.select("qid", F.col("row").alias("vec_id"), "dist", F.col("dense_rank").cast("long").alias("rank"))
+
+
+def auto_min_sim(spark, sf):
+    z = F.sqrt(2 * F.log(F.greatest(F.count(F.lit(1)), F.lit(2)).cast("double"))) + 1
+    bits = float(DIM * STACKS)
+    return _emb(spark, sf).agg(F.round(0.5 + 0.5 * z / F.sqrt(F.lit(bits)), 9).alias("hamming_floor"), F.round(z / F.sqrt(F.lit(float(DIM))), 9).alias("cosine_floor"))
+
+
+def floor_filtered_dense(spark, sf):
+    c, e = _codes(spark, sf)
+    e = stored(e)
+    floor = dense.auto_floor(e.count(), bits=c.bits)
+    s = dense.hamming_scan(e, c.words(_query_vector(spark, sf)[None])[0], c.bits).where(F.col("dense_sim") >= floor)
+    return s.select(F.col("row").alias("vec_id"), F.col("dense_dist").cast("long").alias("dist"))
+
+
+def _hybrid(spark, sf, k: int, floor: float | None = None, c: float = fusion.RRF_C, alpha: float | None = None) -> DataFrame:
+    pool = fusion.default_over_fetch(k)
+    codec, e = _codes(spark, sf)
+    d = dense.hamming_scan(e, codec.words(_query_vector(spark, sf)[None])[0], codec.bits)
+    if floor is not None:
+        d = d.where(F.col("dense_sim") >= floor)
+    d = dense.ranked(d, [F.col("dense_dist"), F.col("row")], pool, "dense_rank")
+    x = lexical.search(_index(spark, sf), _query_text(spark, sf), pool)
+    h = fusion.rrf(d, x, k, c) if alpha is None else fusion.weighted(d, x, k, alpha)
+    return h.select("row", F.col("dense_dist").cast("long").alias("dist"), F.round("bm25_score", 6).alias("bm25_score"), F.round("fused", 9).alias("fused"), F.col("rank").cast("long").alias("rank"))
+
+
+def rrf_hybrid(spark, sf):
+    return _hybrid(spark, sf, 20)
+
+
+def rrf_hybrid_floor(spark, sf):
+    return _hybrid(spark, sf, 20, floor=0.55, c=5)
+
+
+def weighted_hybrid(spark, sf):
+    return _hybrid(spark, sf, 20, alpha=0.5)
+
+
+def fetch_verified(spark, sf):
+    d = _docs(spark, sf)
+    hits = lexical.search(_index(spark, sf), _query_text(spark, sf), 10)
+    store = d.withColumn("sha256", F.sha2("text", 256))
+    f = fusion.fetch(hits, store)
+    broken = fusion.fetch(hits, store.withColumn("text", F.concat("text", F.lit("!"))))
+    return f.select("row", "sha256", "verified").unionByName(broken.select("row", "sha256", "verified"))
+
+
+def _snapshots(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The corpus as it was and as it should be: chunk_id, text, sha256."""
+    d = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", "lang", "source")
+    p = _t(spark, sf, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("chunk_id"), F.col("html").alias("text"))
+    new = d.where("lang <> 'es'").select("chunk_id", F.when(F.col("source") == "src1", F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text")).alias("text")).unionByName(p)
+    sha = lambda x: x.select("chunk_id", "text", F.sha2("text", 256).alias("sha256"))
+    return sha(d), sha(new)
+
+
+def _history(spark, sf) -> DataFrame:
+    """The snapshot after the sync: old rows, some of them tombstones, then the new ones."""
+    old, new = _snapshots(spark, sf)
+    act = stored(mutation.diff(old, new))
+    snap = old.withColumn("row", F.col("chunk_id").cast("long")).withColumn("tombstone", F.lit(False))
+    snap = mutation.tombstoned(snap, act.where("action in ('updated', 'deleted')"))
+    add = new.join(act.where("action in ('added', 'updated')").select("chunk_id"), "chunk_id")
+    add = mutation.numbered(add, ["chunk_id"], snap.count())
+    return snap.unionByName(add.withColumn("tombstone", F.lit(False)))
+
+
+def sync_diff(spark, sf):
+    return mutation.diff(*_snapshots(spark, sf))
+
+
+def sync_stats(spark, sf):
+    return mutation.sync_stats(mutation.diff(*_snapshots(spark, sf)))
+
+
+def update_latest_live(spark, sf):
+    return _history(spark, sf).where("not tombstone").select("chunk_id", F.sha2("text", 256).alias("sha256"), "row")
+
+
+def tombstone_ratio(spark, sf):
+    return mutation.counts(_history(spark, sf)).withColumn("tombstone_ratio", F.round("tombstone_ratio", 9))
+
+
+def compact_live(spark, sf):
+    return mutation.compacted(_history(spark, sf)).select("row", "chunk_id")
+
+
+def shard_assignment(spark, sf):
+    d = _docs(spark, sf).select("row", F.octet_length("text").alias("n_bytes"))
+    return mutation.sharded(d, 20_000)
+
+
+def merkle_root(spark, sf):
+    d = _docs(spark, sf).withColumn("sha256", F.sha2("text", 256)).drop("text")
+    return spark.createDataFrame([(mutation.merkle_root(d),)], "root string")
+
+
+def last_duplicate_wins(spark, sf):
+    c = _t(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("chunk_id"), "turn", "text")
+    return mutation.last_by_id(c, "turn").select("chunk_id", "turn", F.sha2("text", 256).alias("sha256"))
+
+
+def chunk_sha256(spark, sf):
+    return _docs(spark, sf).select(F.col("row").alias("doc_id"), T.sha(F.col("text")).alias("sha256"))
+
+
+def html_extract_text(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", T.html_body(F.col("html")).alias("text"))
+
+
+def html_title(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
+
+
+def frontmatter_strip(spark, sf):
+    md = F.concat(F.lit("---\ntitle: "), F.col("url"), F.lit("\n---\n"), F.lit("# "), F.col("url"))
+    return _t(spark, sf, "pages").select("page_id", T.without_front_matter(md).alias("body"), T.front_matter(md).alias("front"))
+
+
+def chunk_documents(spark, sf):
+    d = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    c = chunking.chunks(d, "path")
+    return c.select(F.col("source").cast("long").alias("doc_id"), F.col("ord").cast("long").alias("ord"), "chunk_id", "sha256")
+
+
+def page_chunks(spark, sf):
+    return D.page_chunks(_t(spark, sf, "pages")).select("chunk_id", F.col("ord").cast("long").alias("ord"), "sha256", F.col("meta")["title"].alias("title"))
+
+
+def recall_at_k(spark, sf):
+    exact = dense.batch(_scored(spark, sf), 10, [F.desc("sim"), F.col("row")])
+    found = dense.batch(_hamming_all(spark, sf), 10, [F.col("dist"), F.col("row")])
+    return evaluation.recall(exact, found, 10).select(F.round("recall", 6).alias("recall"))
+
+
+def spearman_rho(spark, sf):
+    h = _hamming_all(spark, sf).select("qid", "row", (-F.col("dist")).alias("h"))
+    s = _scored(spark, sf).select("qid", "row", F.round("sim", 9).alias("s")).join(h, ["qid", "row"])
+    return evaluation.spearman(s, "s", "h").select("qid", F.round("rho", 6).alias("rho"))
+
+
+def ndcg_at_k(spark, sf):
+    own = F.broadcast(_emb(spark, sf).groupBy("label").agg(F.min("row").alias("qid")).select("qid", F.col("label").alias("mine")))  # one row a label
+    g = _hamming_all(spark, sf).join(own, "qid").withColumn("grade", (F.col("label") == F.col("mine")).cast("int"))
+    r = dense.batch(g, 10, [F.col("dist"), F.col("row")], name="rank")
+    i = dense.batch(g, 10, [F.desc("grade"), F.col("row")], name="rank")
+    return evaluation.ndcg(r, i, 10).select("qid", F.round("ndcg", 6).alias("ndcg"))
+
+
+def quantizer_codes(spark, sf):
+    """How many coordinates fall on each of 16 levels, without a rotation."""
+    c = LevelCodec(64, 4, rotation=np.eye(64))
+    cuts = F.array(*[F.lit(float(x)) for x in c.cuts])
+    x = _emb(spark, sf).select(F.col("row").alias("vec_id"), F.posexplode(F.transform(V.normalized(F.col("embedding")), lambda v: v * 8.0)).alias("pos", "x"))
+    return x.select("vec_id", F.col("pos").cast("long").alias("pos"), F.size(F.filter(cuts, lambda t: t < F.col("x"))).cast("long").alias("level"))
+
+
+def quantizer_cosine(spark, sf):
+    c = LevelCodec(64, 4, 0)
+    e = _emb(spark, sf).withColumn("code", c.column(F.col("embedding")))
+    s = e.select(c.similarity(F.col("code"), _query_vector(spark, sf)).alias("approx"), V.dot_literal(F.col("embedding"), _query_vector(spark, sf)).alias("exact"))
+    return s.agg(F.round(F.corr("approx", "exact"), 3).alias("corr"), F.count(F.lit(1)).alias("n"))
+
+
+def index_search(spark, sf):
+    """An index built from the documents' chunks, then searched and fetched."""
+    import uuid
+
+    from brindle.plans.index import Index, IndexWriter
+
+    e = HashEmbedder(64)
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    w = IndexWriter.create(spark, path, e, dim=64, k=4)
+    d = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    w.add_chunks(chunking.chunks(d, "path").select("chunk_id", "text", F.create_map(F.lit("ord"), F.col("ord").cast("string")).alias("meta"), F.monotonically_increasing_id().alias("pos")))
+    w.commit()
+    return Index(spark, path).search_and_fetch(_query_text(spark, sf), embedder=e, k=10).select("row", "text", "fused", "rank", "verified")
+
+
+_QUERIES = [
+    tokenize_docs, term_df, doc_len_stats, bm25_postings_impact, bm25_search_top10, bm25_batch_topk, dense_knn_cosine, dense_knn_batch, corpus_mean_vector, centered_truncated,
+    l2_normalized, label_centroids, rademacher_planes, srht_planes, int8_plane_scales, simhash_codes, hamming_scan_topk, hamming_batch_topk, auto_min_sim, floor_filtered_dense,
+    rrf_hybrid, rrf_hybrid_floor, weighted_hybrid, fetch_verified, sync_diff, sync_stats, update_latest_live, tombstone_ratio, compact_live, shard_assignment, merkle_root,
+    last_duplicate_wins, chunk_sha256, html_extract_text, html_title, frontmatter_strip, chunk_documents, page_chunks, recall_at_k, spearman_rho, ndcg_at_k, quantizer_codes,
+    quantizer_cosine, index_search,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
