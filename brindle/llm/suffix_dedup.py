@@ -2,10 +2,11 @@
 
 A byte goes if some string of ``LENGTH`` bytes that covers it starts anywhere else too, in the same
 document or another. Which contexts have to be compared is found as in repeats.py. Those of an anchor are
-brought together, and the suffixes at each place in them are sorted by mergesort: two are compared by
-their common extension, which a binary search over prefix polynomial hashes finds in a logarithmic number
-of steps. Equal neighbours in the order share at least ``LENGTH`` bytes; each is verified on the bytes, and
-where a hash collided the suffixes concerned are sorted again by their bytes.
+brought together, and their suffixes from the anchor on are sorted by mergesort: two are compared by their
+common extension, which a binary search over prefix polynomial hashes finds in a logarithmic number of
+steps. Going outward from a context in that order, the least extension passed is what it shares to the
+right; what it shares to the left is searched the same way. Every stretch found is verified on the bytes,
+and a group in which a hash collided is compared by bytes alone.
 
 An anchor in more than ``HOT`` differing contexts is not brought to one task: its windows are counted in
 Spark by 128 bits of hash. Contexts are compared in hashed buckets of some thousands.
@@ -38,56 +39,59 @@ def _symbols(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _BYTE[buf], offs
 
 
-def extension(pre: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """How many symbols, at most ``most``, the suffixes at x and y share, by binary search over hashes."""
-    lo, hi = np.zeros(len(x), np.int64), np.full(len(x), most, np.int64)
-    same = span_hashes(pre, x, x + most) == span_hashes(pre, y, y + most)
-    lo[same] = most
-    for _ in range(int(most).bit_length()):
-        open_ = np.flatnonzero(lo < hi)
-        if not len(open_):
-            break
-        mid = (lo[open_] + hi[open_] + 1) // 2
-        a, b = x[open_], y[open_]
-        eq = span_hashes(pre, a, a + mid) == span_hashes(pre, b, b + mid)
-        lo[open_[eq]] = mid[eq]
-        hi[open_[~eq]] = mid[~eq] - 1
+def extension(pre: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray, back: bool = False) -> np.ndarray:
+    """How many symbols, at most ``most``, follow (or precede) x and y alike, by binary search over hashes."""
+    lo, hi = np.zeros(len(x), np.int64), most.astype(np.int64).copy()
+    live = np.flatnonzero(hi > 0)
+    first = True
+    while len(live):
+        # the whole is tried first: many extensions are as long as can be
+        m = hi[live] if first else (lo[live] + hi[live] + 1) // 2
+        first = False
+        a, b = x[live], y[live]
+        if back:
+            eq = span_hashes(pre, a - m, a) == span_hashes(pre, b - m, b)
+        else:
+            eq = span_hashes(pre, a, a + m) == span_hashes(pre, b, b + m)
+        lo[live[eq]] = m[eq]
+        hi[live[~eq]] = m[~eq] - 1
+        live = live[lo[live] < hi[live]]
     return lo
 
 
-def suffix_sort(buf: np.ndarray, pre: np.ndarray, at: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
-    """The order of suffixes ``at`` by group, then by their first ``most`` bytes: a bottom-up mergesort.
+def suffix_sort(buf: np.ndarray, pre: np.ndarray, at: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order of suffixes (start ``at``, length ``size``) by group, then bytes, a prefix first: a bottom-up mergesort.
 
     All merges of a level advance together: each suffix finds its place in the neighbouring run by binary
     search, comparing by extension."""
     order = np.argsort(group, kind="stable")
     g = group[order]
-    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    size = np.diff(start, append=len(g))
+    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    count = np.diff(start, append=len(g))
+    begin, n = np.repeat(start, count), np.repeat(count, count)
+    i = np.arange(len(g)) - begin
     width = 1
-    while width < size.max(initial=0):
-        begin, n = np.repeat(start, size), np.repeat(size, size)
-        i = np.arange(len(g)) - begin
+    while width < count.max(initial=0):
         run = i // width
         right = run % 2 == 1
         other = np.where(right, run - 1, run + 1) * width
-        m = np.clip(n - other, 0, width)
-        todo = np.flatnonzero((m > 0) & (n > width))
-        lo, hi = np.zeros(len(todo), np.int64), m[todo]
-        base, mine, rt = begin[todo] + other[todo], at[order[todo]], right[todo]
+        todo = np.flatnonzero((n > width) & (other < n))
+        lo, hi = np.zeros(len(todo), np.int64), np.minimum(n[todo] - other[todo], width)
+        base, mine, rt = begin[todo] + other[todo], order[todo], right[todo]
         live = np.arange(len(todo))
         while len(live):
             mid = (lo[live] + hi[live]) // 2
-            theirs, x = at[order[base[live] + mid]], mine[live]
-            e = extension(pre, x, theirs, most)
-            full = e == most
-            bx, by = buf[x + np.minimum(e, most - 1)], buf[theirs + np.minimum(e, most - 1)]
-            before = np.where(full, rt[live], by < bx)
+            them, me = order[base[live] + mid], mine[live]
+            short = np.minimum(size[me], size[them])
+            e = extension(pre, at[me], at[them], short)
+            end = e == short
+            bx, by = buf[at[me] + np.where(end, 0, e)], buf[at[them] + np.where(end, 0, e)]
+            before = np.where(end, np.where(size[me] == size[them], rt[live], size[them] < size[me]), by < bx)
             lo[live[before]] = mid[before] + 1
             hi[live[~before]] = mid[~before]
             live = live[lo[live] < hi[live]]
         to = np.arange(len(g))
-        to[todo] = begin[todo] + np.minimum(run[todo], other[todo] // width) * width + i[todo] % width + lo
+        to[todo] = begin[todo] + np.minimum(run[todo] * width, other[todo]) + i[todo] % width + lo
         new = np.empty_like(order)
         new[to] = order
         order = new
@@ -95,26 +99,72 @@ def suffix_sort(buf: np.ndarray, pre: np.ndarray, at: np.ndarray, group: np.ndar
     return order
 
 
-def repeated(buf: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Which suffixes share their first ``length`` bytes with another of their group."""
+def shared(buf: np.ndarray, begin: np.ndarray, off: np.ndarray, size: np.ndarray, group: np.ndarray, asks: np.ndarray, length: int):
+    """Stretches of at least ``length`` bytes around the anchor that contexts of a group share.
+
+    A context starts at ``begin``, has ``size`` bytes and its anchor at ``off``. The suffixes from the
+    anchors on are sorted; how far a context and its d-th neighbour agree to the right is the least
+    extension between them, to the left it is searched for. Each d is one pass over all contexts that can
+    still share enough. Gives (context, left, right) for contexts that ``asks`` marks."""
     pre = prefix(_BYTE[buf])
-    order = suffix_sort(buf, pre, at, group, length)
-    x, y = order[:-1], order[1:]
-    equal = (group[x] == group[y]) & (extension(pre, at[x], at[y], length) == length)
-    pos = np.flatnonzero(equal)
-    out = np.zeros(len(at), bool)
-    bad = []
-    for k in range(0, len(pos), 1 << 15):
-        p = pos[k : k + (1 << 15)]
-        true = (buf[at[x[p]][:, None] + np.arange(length)] == buf[at[y[p]][:, None] + np.arange(length)]).all(1)
-        out[x[p[true]]] = out[y[p[true]]] = True
-        bad.append(p[~true])
-    for g in np.unique(group[x[np.concatenate(bad)]]) if bad else ():
-        here = np.flatnonzero(group == g)
-        raw = [buf[at[i] : at[i] + length].tobytes() for i in here]
-        count = {s: raw.count(s) for s in set(raw)}
-        out[here] = [count[s] > 1 for s in raw]
-    return out
+    order = suffix_sort(buf, pre, begin + off, size - off, group)
+    b, o, n, g, ask = begin[order], off[order], size[order], group[order], asks[order]
+    at = b + o
+    k = np.flatnonzero(g[:-1] == g[1:])
+    lcp = np.zeros(len(g), np.int64)
+    lcp[k] = extension(pre, at[k], at[k + 1], np.minimum(n - o, np.roll(n - o, -1))[k])
+    k = np.flatnonzero((lcp > 0) & (lcp + o >= length))
+    far, d = lcp[k], 1
+    out, bad = [], []
+    while len(k):
+        j = k + d
+        use = np.flatnonzero((far + np.minimum(o[k], o[j]) >= length) & (ask[k] | ask[j]))
+        x, y, right = k[use], j[use], far[use]
+        left = extension(pre, at[x], at[y], np.minimum(o[x], o[y]), back=True)
+        ok = np.flatnonzero(left + right >= length)
+        x, y, left, right = x[ok], y[ok], left[ok], right[ok]
+        for c in range(0, len(x), 1 << 14):
+            u, v, ll, w = x[c : c + (1 << 14)], y[c : c + (1 << 14)], left[c : c + (1 << 14)], (left + right)[c : c + (1 << 14)]
+            step = np.arange(int(w.max()))
+            inside = step[None, :] < w[:, None]
+            p = np.where(inside, (at[u] - ll)[:, None] + step, 0)
+            q = np.where(inside, (at[v] - ll)[:, None] + step, 0)
+            bad.append(g[u[(buf[p] != buf[q]).any(1)]])
+        for z in (x, y):
+            w = ask[z]
+            out.append((order[z[w]], left[w], right[w]))
+        d += 1
+        k = k[k + d < len(g)]
+        far = np.minimum(far[: len(k)], lcp[k + d - 1])
+        go = (far > 0) & (far + o[k] >= length)
+        k, far = k[go], far[go]
+    none = np.zeros(0, np.int64)
+    i, left, right = (np.concatenate(x) for x in zip(*out)) if out else (none, none, none)
+    wrong = np.unique(np.concatenate(bad)) if bad else none
+    if len(wrong):
+        keep = ~np.isin(group[i], wrong)
+        more = [_plainly(buf, begin, off, size, np.flatnonzero(group == w), asks, length) for w in wrong]
+        i, left, right = (np.concatenate([a[keep], *b_]) for a, b_ in zip((i, left, right), zip(*more)))
+    return i, left, right
+
+
+def _plainly(buf, begin, off, size, who, asks, length):
+    """The same for one group in which hashes collided: bytes against bytes."""
+    out = []
+    at = {int(i): (buf[begin[i] : begin[i] + off[i]].tobytes()[::-1], buf[begin[i] + off[i] : begin[i] + size[i]].tobytes()) for i in who}
+
+    def common(a: bytes, b: bytes) -> int:
+        m = min(len(a), len(b))
+        return next((t for t in range(m) if a[t] != b[t]), m)
+
+    for i in who.tolist():
+        for j in who.tolist():
+            if i != j and asks[i]:
+                ll, rr = common(at[i][0], at[j][0]), common(at[i][1], at[j][1])
+                if ll + rr >= length:
+                    out.append((i, ll, rr))
+    cols = np.array(out, np.int64).reshape(-1, 3)
+    return cols[:, 0], cols[:, 1], cols[:, 2]
 
 
 def _listed(b: pa.RecordBatch, *names: str):
@@ -140,30 +190,21 @@ def _bytes(batches):
 
 
 def _sort(length: int):
-    """In a bucket of contexts: the spans of windows that recur, of contexts not yet settled."""
+    """In a bucket of contexts: the stretches that recur, of contexts not yet settled."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        body = t["body"].chunk(0)
-        buf, offs = strings(body)
+        buf, offs = strings(t["body"].chunk(0))
         place = t["place"].to_numpy()
-        settled = t["settled"].to_numpy(zero_copy_only=False)
-        _, who = np.unique(t["anchor"].to_numpy(), return_inverse=True)
-        many = (place & 4095) - length + 1
-        c = np.repeat(np.arange(len(place)), many)
-        s = np.arange(len(c)) - np.repeat(np.cumsum(many) - many, many)
-        # a window's place is told from the anchor; no other place can match
-        group = who[c] * 4096 + s - (place[c] >> 12 & 4095) + 2048
-        n = np.bincount(np.unique(group, return_inverse=True)[1])
-        keep = np.flatnonzero(n[np.unique(group, return_inverse=True)[1]] > 1)
-        hit = keep[repeated(buf, offs[c[keep]] + s[keep], group[keep], length)]
-        hit = hit[~settled[c[hit]]]
-        c, s = c[hit], s[hit]
-        fresh = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (s[1:] != s[:-1] + 1)])) if len(c) else c
-        last = np.append(fresh[1:], len(c)) - 1 if len(c) else c
-        i = pa.array(c[fresh])
-        a = (place[c[fresh]] >> 24) + s[fresh]
-        return pa.table([t["doc_id"].take(i), t["h"].take(i), pa.array(a), pa.array(a + s[last] - s[fresh] + length)], names=["doc_id", "h", "a", "z"])
+        _, group = np.unique(t["anchor"].to_numpy(), return_inverse=True)
+        off = place >> 12 & 4095
+        i, left, right = shared(buf, offs[:-1], off, place & 4095, group, ~t["settled"].to_numpy(zero_copy_only=False), length)
+        at = (place >> 24)[i] + off[i]
+        # of a context's stretches with the same left end only the longest counts
+        order = np.lexsort((-right, left, i))
+        keep = order[np.concatenate([[True], (np.diff(i[order]) != 0) | (np.diff(left[order]) != 0)])] if len(i) else order
+        r = pa.array(i[keep])
+        return pa.table([t["doc_id"].take(r), t["h"].take(r), pa.array((at - left)[keep]), pa.array((at + right)[keep])], names=["doc_id", "h", "a", "z"])
 
     return run
 
