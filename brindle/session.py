@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+BATCH = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"))
+
+
 def session(app: str = "brindle", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with the settings the library is tuned for. An existing session is reused."""
     b = (
@@ -29,11 +32,16 @@ def session(app: str = "brindle", master: str | None = None, partitions: int | N
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, wherever the driver was started."""
+    """Lets Python workers import this package, wherever the driver was started.
+
+    Rows hold whole texts, so batches to Python get a bound in bytes, unless the session has set its own."""
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "").split(os.pathsep)
     if HOME not in path:
         env["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, path)])
+    for key, default, value in BATCH:
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
     return spark
 
 
