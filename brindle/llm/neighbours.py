@@ -6,6 +6,9 @@ Within them the footrule distance (the sum over pivots of how far their ranks ar
 counting as last) ranks the vectors; those within ``REACH`` of the largest footrule are reranked by their
 inner product, in double precision, on the original vectors. There is no cap on candidates.
 
+The smaller the table, the more is posted, read and in reach, from
+these figures on very large tables up to everything at ``FEW`` vectors; nothing jumps there.
+
 Pivots are fitted on a bounded sample: the vectors with the least hashes, at most ``SAMPLE``, from which
 ``PIVOTS`` are taken far apart. Every vector is indexed. A file with many vectors is cut into blocks
 of about ``BLOCK``, and the queries that read it likewise, so a hot pivot is shared by many tasks.
@@ -13,7 +16,7 @@ of about ``BLOCK``, and the queries that read it likewise, so a hot pivot is sha
 Defined results: null vectors, zero vectors, those with a null or non-finite component, of another
 length than most, or without a vec_id take no part, as candidates or queries; a row repeated exactly
 counts once, and other rows under the query's own vec_id aren't its candidates; ties go to the smaller
-vec_id; with few vectors every list is read whole, so a query with fewer candidates than k gets all."""
+vec_id; up to ``FEW`` vectors every list is read whole, so a query with fewer candidates than k gets all."""
 
 from __future__ import annotations
 
@@ -32,10 +35,10 @@ SAMPLE = 20_000
 PIVOTS = 96
 LENGTH = 24
 POSTED = 6
-READ = 16
-REACH = 0.8
+READ = 24
+REACH = 0.85
 BLOCK = 4096
-#: Up to so many vectors, 16 pivots whose files all are read.
+#: Up to so many vectors, 16 pivots whose files all are read; above, the depth falls as FEW / n.
 FEW = 512
 
 
@@ -107,9 +110,11 @@ def search(vectors: DataFrame, vec: str = "embedding", k: int = K, every: int =
     m = min(16, len(sample)) if few else pivots
     pv = far_apart(np.array([r[0] for r in sample], float), m)
     listed = m if few else length
-    limit = m * m * 2 if few else reach * listed * (listed + 1)
+    more = 1 if few else FEW / n
+    posted, read = math.ceil(posted + (listed - posted) * more), round(read + (listed - read) * more)
+    limit = (1 - (1 - reach) * (1 - more)) * listed * (listed + 1)
     p = stored(permutations(e, pv, listed))
-    at = lambda n: p.select("vec_id", "vec", "order", F.explode("order" if few else F.slice("order", 1, n)).alias("pivot"))
+    at = lambda n: p.select("vec_id", "vec", "order", F.explode(F.slice("order", 1, n)).alias("pivot"))
     is_query = F.col("vec_id") % every == 0
     files = stored(at(posted).select("pivot").groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).join(at(read).where(is_query).groupBy("pivot").agg(F.count(F.lit(1)).alias("nq")), "pivot"))
     files = files.select("pivot", F.ceil(F.col("n") / block).cast("int").alias("vb"), F.greatest(F.lit(1), F.ceil(F.col("nq") / block).cast("int")).alias("qb"))

@@ -1,0 +1,48 @@
+"""op4 against brute force, on tables of more vectors than are searched whole."""
+
+import numpy as np
+import pytest
+from pyspark.sql import SparkSession
+
+from brindle.llm import neighbours
+from brindle.session import session
+
+TABLE = "/root/testdata/sf0.1/embeddings.parquet"
+
+
+@pytest.fixture(scope="module")
+def spark() -> SparkSession:
+    return session(master="local[4]", partitions=4)
+
+
+def _recall(spark, ids, x, every=20, k=20) -> np.ndarray:
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, k=k, every=every).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    out = []
+    for j in np.flatnonzero(ids % every == 0):
+        s = x @ x[j]
+        s[j] = -np.inf
+        out.append(len(got.get(ids[j], set()) & set(ids[np.lexsort((ids, -s))[:k]].tolist())) / k)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("n", [600, 1000, 2000, 8000])
+@pytest.mark.parametrize("spread", [0])
+def test_recall(spark, n, spread):
+    if n == 8000:
+        x, ids = np.random.default_rng(1).normal(size=(n, 64)), np.arange(n)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    else:
+        t = spark.read.parquet(TABLE).orderBy("vec_id").limit(n).toPandas()
+        x, ids = np.array(t["embedding"].tolist(), float), t["vec_id"].to_numpy()
+    x = x * np.random.default_rng(2).lognormal(0, spread, (len(x), 1))
+    r = _recall(spark, ids, x)
+    print(f"\n{n} vectors, spread {spread}: recall@20 {r.mean():.3f}, least {r.min():.2f}")
+    assert r.mean() >= 0.97 and r.min() >= 0.8
+
+
+def test_few_vectors_are_searched_whole(spark):
+    x = np.random.default_rng(3).normal(size=(15, 64))
+    assert neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=1).count() == 15 * 14
