@@ -6,7 +6,9 @@ Within them the footrule distance (the sum over pivots of how far their ranks ar
 counting as last) ranks the vectors; those within ``REACH`` of the largest footrule are reranked by their
 inner product, in double precision, on the original vectors. There is no cap on candidates.
 
-The smaller the table, the more is posted, read and in reach, from
+Permutations know directions only, while a long vector reaches an inner product from farther off. So a vector
+``r`` times as long as the median, if r > 1, is posted in r * r times as many files, and the part of the footrules
+that is out of its reach is r times smaller. The smaller the table, the more is posted, read and in reach, from
 these figures on very large tables up to everything at ``FEW`` vectors; nothing jumps there.
 
 Pivots are fitted on a bounded sample: the vectors with the least hashes, at most ``SAMPLE``, from which
@@ -71,8 +73,19 @@ def _matrix(col, dtype=np.float64) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(col), -1)
 
 
-def permutations(vectors: DataFrame, pv: np.ndarray, listed: int) -> DataFrame:
-    """vec_id, vec and order: the nearest pivots of each vector, nearest first, ties to the lower pivot."""
+def _norms(x: np.ndarray) -> np.ndarray:
+    top = np.abs(x).max(1, keepdims=True)
+    return top[:, 0] * np.linalg.norm(x / top, axis=1)
+
+
+def _longer(x: np.ndarray, typical: float) -> np.ndarray:
+    """How many times as long as is typical each vector is, at least 1; rounding errors don't make it longer."""
+    r = _norms(x) / typical
+    return np.where(r > 1 + 1e-6, r, 1.0)
+
+
+def permutations(vectors: DataFrame, pv: np.ndarray, listed: int, posted: float, typical: float) -> DataFrame:
+    """vec_id, vec, order and depth: the nearest pivots of each vector, nearest first, ties to the lower pivot; in how many of them it is posted."""
 
     @F.arrow_udf("array<smallint>")
     def order(col: pa.Array) -> pa.Array:
@@ -80,7 +93,12 @@ def permutations(vectors: DataFrame, pv: np.ndarray, listed: int) -> DataFrame:
         near = np.argsort(-(x @ pv.T), axis=1, kind="stable")[:, :listed].astype(np.int16) if len(x) else np.zeros((0, listed), np.int16)
         return pa.ListArray.from_arrays(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1], near.ravel())
 
-    return vectors.withColumn("order", order("vec"))
+    @F.arrow_udf("int")
+    def depth(col: pa.Array) -> pa.Array:
+        r = _longer(_matrix(col), typical) if len(col) else np.zeros(0)
+        return pa.array(np.minimum(listed, np.ceil(posted * r * r)).astype(np.int32))
+
+    return vectors.withColumn("order", order("vec")).withColumn("depth", depth("vec"))
 
 
 def _footrule(q: np.ndarray, ranks: np.ndarray, listed: int) -> np.ndarray:
@@ -108,13 +126,16 @@ def search(vectors: DataFrame, vec: str = "embedding", k: int = K, every: int =
     sample = e.orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(SAMPLE).select("vec").collect()
     few = n <= FEW or len(sample) <= pivots
     m = min(16, len(sample)) if few else pivots
-    pv = far_apart(np.array([r[0] for r in sample], float), m)
+    sample = np.array([r[0] for r in sample], float)
+    pv = far_apart(sample, m)
+    typical = float(np.median(_norms(sample)))
     listed = m if few else length
     more = 1 if few else FEW / n
-    posted, read = math.ceil(posted + (listed - posted) * more), round(read + (listed - read) * more)
-    limit = (1 - (1 - reach) * (1 - more)) * listed * (listed + 1)
-    p = stored(permutations(e, pv, listed))
-    at = lambda n: p.select("vec_id", "vec", "order", F.explode(F.slice("order", 1, n)).alias("pivot"))
+    posted, read = posted + (listed - posted) * more, round(read + (listed - read) * more)
+    beyond = (1 - reach) * (1 - more)
+    p = stored(permutations(e, pv, listed, posted, typical))
+    at = lambda n: p.select("vec_id", "vec", "order", F.explode(F.slice("order", F.lit(1), n)).alias("pivot"))
+    posted, read = F.col("depth"), F.lit(read)
     is_query = F.col("vec_id") % every == 0
     files = stored(at(posted).select("pivot").groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).join(at(read).where(is_query).groupBy("pivot").agg(F.count(F.lit(1)).alias("nq")), "pivot"))
     files = files.select("pivot", F.ceil(F.col("n") / block).cast("int").alias("vb"), F.greatest(F.lit(1), F.ceil(F.col("nq") / block).cast("int")).alias("qb"))
@@ -132,11 +153,12 @@ def search(vectors: DataFrame, vec: str = "embedding", k: int = K, every: int =
             qv, qo = _matrix(q["vec"]), _matrix(q["order"], np.int64)
             ranks = np.full((m, len(xi)), listed, np.int16)
             ranks[xo.ravel(), np.repeat(np.arange(len(xi)), listed)] = np.tile(np.arange(listed, dtype=np.int16), len(xi))
+            limit = (1 - beyond / _longer(xv, typical)) * listed * (listed + 1)
             step = max(1, (1 << 18) // len(xi))
             for a in range(0, len(qi), step):
                 far = _footrule(qo[a : a + step], ranks, listed)
                 s = qv[a : a + step] @ xv.T
-                s[(far > limit) | (xi[None, :] == qi[a : a + step, None])] = -np.inf
+                s[(far > limit[None, :]) | (xi[None, :] == qi[a : a + step, None])] = -np.inf
                 c = min(k, s.shape[1])
                 least = np.partition(s, -c, axis=1)[:, -c]
                 for j in range(len(s)):

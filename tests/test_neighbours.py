@@ -29,7 +29,7 @@ def _recall(spark, ids, x, every=20, k=20) -> np.ndarray:
 
 
 @pytest.mark.parametrize("n", [600, 1000, 2000, 8000])
-@pytest.mark.parametrize("spread", [0])
+@pytest.mark.parametrize("spread", [0, 0.5])
 def test_recall(spark, n, spread):
     if n == 8000:
         x, ids = np.random.default_rng(1).normal(size=(n, 64)), np.arange(n)
