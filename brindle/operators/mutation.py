@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -83,27 +84,66 @@ def should_compact(total: int, ratio: float, threshold: float = COMPACT_AT) -> b
     return total > 0 and ratio > threshold
 
 
+def _rolls(n: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes before each row (and after the last), and the row that begins the next shard if one begins at this row."""
+    before = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    end = np.searchsorted(before, before[:-1] + limit, "right") - 1
+    alone = (end < len(n)) & (before[end] == before[:-1])  # a row beyond the limit, in an empty shard
+    return before, end + alone
+
+
+def _first_roll(before: np.ndarray, roll: int, at: int, limit: int) -> int:
+    """The first row that begins a shard, if ``at`` bytes are in the open one. ``roll``: that row at 0 bytes."""
+    return max(1, int(np.searchsorted(before, limit - at, "right"))) - 1 if at else roll
+
+
+def _outcomes(n: np.ndarray, limit: int) -> tuple[list[int], list[int], list[int]]:
+    """What the fill of a block comes to, by the first row j that begins a shard, for every j that can be.
+
+    Bytes before each of these rows; shards begun from j on; bytes in the last of them."""
+    before, nxt = _rolls(n, limit)
+    m, to = len(n), nxt.tolist()
+    begun, left = [0] * (m + 1), [0] * m + [int(before[m])]
+    for i in range(m - 1, -1, -1):
+        begun[i] = begun[to[i]] + 1
+        left[i] = left[to[i]] if to[i] < m else int(before[m] - before[i])
+    z = to[0] + 1
+    return before[: z + 1].tolist(), begun[:z], left[:z]
+
+
 def sharded(rows: DataFrame, limit: int, size: str = "n_bytes", block: int = SHARD_ROWS) -> DataFrame:
     """row, shard_id, byte_offset: rows in order, a new shard when one would pass ``limit`` (unless it is empty).
 
-    Filling is sequential, so each block of ``block`` rows is filled by one task from a fresh shard."""
+    Filling is sequential over all rows. A task a block of ``block`` rows finds what the block comes to for each row
+    at which its first shard can begin, at most a shard's rows; the driver goes through these from block to block;
+    then each block is filled from the bytes that the blocks before leave in the open shard."""
+
+    def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
+        before, begun, left = _outcomes(pdf.sort_values("row")["n"].to_numpy(), limit)
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "before": [before], "begun": [begun], "left": [left]})
+
+    r = stored(rows.select(F.floor(F.col("row") / block).cast("long").alias("block"), "row", F.col(size).cast("long").alias("n")))
+    o = r.groupBy("block").applyInPandas(outcomes, "block long, before array<long>, begun array<long>, left array<long>")
+    starts, shard, at = {}, 0, 0
+    for b in stored(o).orderBy("block").toLocalIterator():
+        starts[b["block"]] = (shard, at)
+        j = _first_roll(np.array(b["before"]), len(b["begun"]) - 1, at, limit)
+        shard, at = shard + b["begun"][j], b["left"][j] + (0 if b["begun"][j] else at)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row")
-        shard, at, out = 0, 0, []
-        for n in pdf["n"].tolist():
-            if at and at + n > limit:
-                shard, at = shard + 1, 0
-            out.append((shard, at))
-            at += n
-        return pd.DataFrame({"block": pdf["block"], "row": pdf["row"], "local": [s for s, _ in out], "byte_offset": [o for _, o in out]})
-
-    r = rows.select(F.floor(F.col("row") / block).cast("long").alias("block"), "row", F.col(size).cast("long").alias("n"))
-    f = r.groupBy("block").applyInPandas(fill, "block long, row long, local long, byte_offset long")
-    f = stored(f)
-    used = f.groupBy("block").agg((F.max("local") + 1).alias("used"))
-    first = used.withColumn("first", F.coalesce(F.sum("used").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return f.join(F.broadcast(first), "block").select("row", (F.col("first") + F.col("local")).alias("shard_id"), "byte_offset")  # a row a block of 2**20
+        shard, at = starts[pdf["block"].iloc[0]]
+        before, nxt = _rolls(pdf["n"].to_numpy(), limit)
+        begins = np.zeros(len(pdf), np.int64)
+        base = np.full(len(pdf), -at, np.int64)
+        i = _first_roll(before, int(nxt[0]), at, limit)
+        while i < len(pdf):
+            begins[i] = 1
+            base[i : nxt[i]] = before[i]
+            i = int(nxt[i])
+        return pd.DataFrame({"row": pdf["row"], "shard_id": shard + np.cumsum(begins), "byte_offset": before[:-1] - base})
+
+    return r.groupBy("block").applyInPandas(fill, "row long, shard_id long, byte_offset long")
 
 
 def _fold(hashes: list[bytes], levels: int | None = None) -> bytes:
