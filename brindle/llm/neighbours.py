@@ -5,7 +5,8 @@ are about ``PER_ROOT`` pivots to the square root of the number of classes. A cla
 list of its ``LENGTH`` nearest pivots, and posted in the inverted files of the ``POSTED`` nearest. A query reads the
 files of its ``READ`` nearest. Each file ranks its classes by footrule distance to the query (the sum over pivots of
 how far their ranks are apart, absent ones counting as last), and the nearest ``SHARE`` of them (``LEAST`` at least)
-are reranked by their inner product on the original vectors. So a file has some square root of n classes, a query
+are reranked by their inner product on the original vectors; what can't be among the k best, as k + 1 pivots' own
+vectors are better, isn't passed on. So a file has some square root of n classes, a query
 looks at a constant number of files, and nothing jumps or is capped at any size. ``exact`` is the exact way: one
 pivot, whose only file is read and reranked whole, in blocks.
 
@@ -42,7 +43,7 @@ SAMPLE = 1 << 16
 PER_ROOT = 4
 LENGTH = 96
 POSTED = 8
-READ = 96
+READ = 64
 SHARE = 0.25
 LEAST = 60
 SURE = 2.0
@@ -51,7 +52,7 @@ _OUT = "query_id long, rank int, vec_id long, score double"
 
 
 def far_apart(unit: np.ndarray, m: int) -> np.ndarray:
-    """m of the sample's unit vectors, each the farthest from those before among a fixed draw."""
+    """Which m of the sample's unit vectors are pivots: each the farthest from those before among a fixed draw."""
     rng = np.random.default_rng(7)
     chosen = [0]
     best = unit @ unit[0]
@@ -64,7 +65,7 @@ def far_apart(unit: np.ndarray, m: int) -> np.ndarray:
         chosen.append(c)
         best = np.maximum(best, unit @ unit[c])
         best[c] = np.inf
-    return unit[chosen]
+    return np.array(chosen)
 
 
 def _valid(df: DataFrame, vec: str) -> DataFrame:
@@ -121,7 +122,8 @@ class Model:
     def __init__(self, sample: np.ndarray, pivots: int, length: int):
         unit = _scaled(sample)[0]
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        self.pv = far_apart(unit, min(pivots, len(unit)))
+        chosen = far_apart(unit, min(pivots, len(unit)))
+        self.pv, self.known = unit[chosen], sample[chosen]
         self.listed = min(length, len(self.pv))
         self.typical = float(np.median(_logs(sample)))
         top = self.listed * (self.listed + 1)
@@ -156,6 +158,18 @@ class Model:
                 out[a : a + step] = np.argsort(far, axis=1, kind="stable")[:, : self.listed]
         return out
 
+    def floors(self, x: np.ndarray, k: int) -> np.ndarray:
+        """For each query what its k best classes reach at least: all pivots are classes, one may be its own."""
+        out = np.full(len(x), -np.inf)
+        if len(self.known) > k:
+            step = max(1, (1 << 22) // len(self.known))
+            for a in range(0, len(x), step):
+                with np.errstate(over="ignore", invalid="ignore"):
+                    s = x[a : a + step] @ self.known.T
+                    s -= 4 * x.shape[1] * 2.0**-52 * np.linalg.norm(x[a : a + step], axis=1)[:, None] * np.linalg.norm(self.known, axis=1)
+                    out[a : a + step] = np.partition(s, -k - 1, axis=1)[:, -k - 1]
+        return np.where(np.isfinite(out), out, -np.inf)
+
     def files(self, x: np.ndarray, order: np.ndarray, posted: float) -> list[np.ndarray]:
         """The files that each vector is posted in; rounding errors don't make one long."""
         r = _logs(x) - self.typical
@@ -168,18 +182,16 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32)))
 
 
-def permutations(classes: DataFrame, model: Model, posted: float, read: int) -> DataFrame:
-    """``classes`` with order (nearest pivots), files (where posted) and reads (the files a query reads)."""
+def permutations(classes: DataFrame, model: Model, k: int, posted: float, read: int) -> DataFrame:
+    """``classes`` with order (nearest pivots), files (where posted), reads (the files a query reads) and floor (what counts for it)."""
 
-    @F.arrow_udf("struct<order:array<int>,files:array<int>>")
+    @F.arrow_udf("struct<order:array<int>,files:array<int>,floor:double>")
     def place(col: pa.Array) -> pa.Array:
-        x = _matrix(col)
-        if not len(x):
-            return pa.StructArray.from_arrays([_lists([]), _lists([])], ["order", "files"])
+        x = _matrix(col) if len(col) else np.zeros((0, model.pv.shape[1]))
         o = model.orders(x)
-        return pa.StructArray.from_arrays([_lists(list(o)), _lists(model.files(x, o, posted))], ["order", "files"])
+        return pa.StructArray.from_arrays([_lists(list(o)), _lists(model.files(x, o, posted) if len(x) else []), pa.array(model.floors(x, k))], ["order", "files", "floor"])
 
-    return classes.withColumn("_p", place("vec")).withColumn("order", F.col("_p.order")).withColumn("files", F.col("_p.files")).withColumn("reads", F.slice("order", 1, read)).drop("_p")
+    return classes.withColumn("_p", place("vec")).withColumn("order", F.col("_p.order")).withColumn("files", F.col("_p.files")).withColumn("floor", F.col("_p.floor")).withColumn("reads", F.slice("order", 1, read)).drop("_p")
 
 
 def _footrules(q: np.ndarray, xo: np.ndarray, pivots: int, listed: int) -> np.ndarray:
@@ -215,7 +227,8 @@ def rerank(q: pa.Table, x: pa.Table, model: Model, k: int, share: float, least:
         low = low.flatten().to_numpy()[low.offsets.to_numpy()[:-1] - low.offsets[0].as_py()]
         top = max(least, math.ceil(share * len(xv)))
         xe = int(np.frexp(np.abs(xv).max())[1])
-        xw, qw = np.ldexp(xv, -xe), _scaled(qv)[0]
+        xw, (qw, qe) = np.ldexp(xv, -xe), _scaled(qv)
+        known = np.ldexp(q["floor"].to_numpy(), -(qe + xe))
         slack = 4 * xv.shape[1] * 2.0**-52 * np.linalg.norm(xw, axis=1)
         step = max(1, (1 << 24) // (len(xv) * model.listed))
         for a in range(0, len(qv), step):
@@ -225,7 +238,7 @@ def rerank(q: pa.Table, x: pa.Table, model: Model, k: int, share: float, least:
                 s[near < np.partition(near, -top, axis=1)[:, -top][:, None]] = -np.inf
             err = slack[None] * np.linalg.norm(qw[a : a + step], axis=1)[:, None]
             c = min(k + 1, len(xv))
-            floor = np.partition(s - err, -c, axis=1)[:, -c]
+            floor = np.maximum(np.partition(s - err, -c, axis=1)[:, -c], known[a : a + step])
             i, j = np.nonzero((s + err >= floor[:, None]) & (s > -np.inf))
             exact = inner(qv[a + i], xv[j])
             by = np.lexsort((low[j], -exact, i))
@@ -251,8 +264,8 @@ def _search(e: DataFrame, k: int, every: int, per_root: float, length: int, post
     n = classes.count()
     sample = np.array([r[0] for r in classes.orderBy("f1", "f2").limit(SAMPLE).select("vec").collect()], float)
     model = Model(sample, math.ceil(per_root * math.sqrt(n)) if per_root else 1, length)
-    p = stored(permutations(classes, model, posted, read))
-    at = lambda col: p.select("f1", "f2", "vec", "ids", "asks", "order", F.explode(col).alias("pivot"))
+    p = stored(permutations(classes, model, k, posted, read))
+    at = lambda col: p.select("f1", "f2", "vec", "ids", "asks", "floor", "order", F.explode(col).alias("pivot"))
     sizes = p.select(F.explode("files").alias("pivot")).groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
     sizes = stored(sizes.join(p.where("asks").select(F.explode("reads").alias("pivot")).groupBy("pivot").agg(F.count(F.lit(1)).alias("nq")), "pivot"))
     cut = lambda c: F.ceil(F.col(c) / block).cast("int")
@@ -260,7 +273,7 @@ def _search(e: DataFrame, k: int, every: int, per_root: float, length: int, post
     right = at("files").join(f, "pivot").withColumn("v", F.pmod("f1", "vb")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
     left = at("reads").where("asks").join(f, "pivot").withColumn("u", F.pmod("f2", "qb")).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)))
     key = [F.col("pivot"), F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v")]
-    left = left.select(*key, "f1", "f2", "vec", "order").toDF("p", "a", "b", "f1", "f2", "vec", "order").groupBy("p", "a", "b")
+    left = left.select(*key, "f1", "f2", "vec", "order", "floor").toDF("p", "a", "b", "f1", "f2", "vec", "order", "floor").groupBy("p", "a", "b")
     right = right.select(*key, "f1", "f2", "vec", "order", "ids").groupBy("pivot", "u", "v")
     near = left.cogroup(right).applyInArrow(lambda q, x: rerank(q, x, model, k, share, least), "q1 long, q2 long, f1 long, f2 long, ids array<long>, same boolean, score double")
     # one shuffle serves all three: pairs met in several files, the best classes, their rows
