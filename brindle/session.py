@@ -48,22 +48,47 @@ def ready(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) is a temporary one made."""
+    Where none is named, a temporary one is made if all executors are on this machine (local tests); on a cluster
+    that is an error, since each machine would write to a disk of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         set_before = spark.sparkContext.getCheckpointDir()
         if set_before:
             return set_before
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+#: Tables that ``stored`` has written, oldest first.
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
-    Cuts the lineage at a table that outlives any executor; later plans get its statistics."""
+    Cuts the lineage at a table that outlives any executor; later plans get its statistics. The table stays until
+    ``dropped`` takes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in the sequence of stored tables, for ``dropped``."""
+    return len(_STORED)
+
+
+def dropped(spark: SparkSession, since: int = 0, but_last: int = 0) -> int:
+    """Deletes the tables stored since a mark, but for the last ones; gives how many. Nothing that reads them may be left to run."""
+    paths = _STORED[since : len(_STORED) - but_last]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        _STORED.remove(path)
+    return len(paths)
