@@ -5,8 +5,10 @@ boundary), most frequent first. A text is ranked the same way; its distance to a
 over its own top n-grams of how far each is out of place, or the profile's length where it is absent.
 
 Defined results: a null text, an empty one and one without any letter give ``und`` and score 0; equal
-distances go to the language that comes first by code point; with nothing to learn from, all is
-``und``; repeated rows are each answered; a null doc_id is never learned from."""
+distances go to the language that comes first by code point; with nothing to learn from, as in an empty table, all is
+``und``; repeated rows are each answered, and each is learned from; a null doc_id is never learned from; texts of any
+length are read whole, one at a time if long; other columns are left behind (``accepted`` keeps them all, whatever
+their names). Any number of languages is learned; the model is a profile of each."""
 
 from __future__ import annotations
 
@@ -22,8 +24,6 @@ UNKNOWN = "und"
 DEPTH = 300
 #: Profiles are fitted on about so many documents of each language (all, if there are fewer).
 SAMPLE = 4000
-#: The model, a profile a language, lives on the driver and in each task; more languages are an error.
-MOST = 1000
 
 _LETTER: np.ndarray | None = None
 
@@ -67,8 +67,12 @@ def _letter_runs(col: pa.Array):
 
 
 def _counts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a row of letters, ascending, and how often each occurs."""
-    k = np.sort(np.concatenate([s[s != 1], s[:-1] | s[1:] << np.uint64(21), s[:-2] | s[1:-1] << np.uint64(21) | s[2:] << np.uint64(42)]))
+    """The n-grams of a row of letters, or of several one after another, ascending, and how often each occurs.
+
+    Where two edges meet, a row ends; no n-gram goes across."""
+    on = (s[:-1] != 1) | (s[1:] != 1)
+    two, three = s[:-1] | s[1:] << np.uint64(21), s[:-2] | s[1:-1] << np.uint64(21) | s[2:] << np.uint64(42)
+    k = np.sort(np.concatenate([s[s != 1], two[on], three[on[:-1] & on[1:]]]))
     at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     return k[at], np.diff(at, append=len(k))
 
@@ -86,9 +90,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", depth: int =
     About ``sample`` documents of a language are used, chosen by hash; how many rows a language has is
     counted first, over all of them. What comes to the driver is ``depth`` rows a language."""
     d = pick(docs, **{text: "string", lang: "string"}).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = d.groupBy(lang).count().limit(MOST + 1).collect()
-    if len(sizes) > MOST:
-        raise ValueError(f"more than {MOST} languages")
+    sizes = d.groupBy(lang).count().collect()  # a row a language
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], int(min(1.0, sample / r[1]) * (1 << 20)))])
@@ -117,10 +119,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", depth: int =
 def classify(text: Column, profiles: dict[str, list[int]], depth: int = DEPTH) -> Column:
     """struct(lang, score) of a text column: the nearest profile and 1 - distance / largest distance."""
     names = sorted(profiles)
-    known = np.unique(np.array([g for p in profiles.values() for g in p], np.uint64)) if profiles else np.zeros(0, np.uint64)
-    place = np.full((len(known) + 1, len(names)), -1, np.int64)
-    for j, name in enumerate(names):
-        place[np.searchsorted(known, np.array(profiles[name], np.uint64)), j] = np.arange(len(profiles[name]))
+    grams = np.array([g for n in names for g in profiles[n]], np.uint64)
+    by = np.argsort(grams, kind="stable")
+    grams = grams[by]
+    owner = np.repeat(np.arange(len(names)), [len(profiles[n]) for n in names])[by]
+    rank = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(profiles[n])) for n in names]])[by]
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def nearest(col: pa.Array) -> pa.Array:
@@ -132,10 +135,12 @@ def classify(text: Column, profiles: dict[str, list[int]], depth: int = DEPTH) -
                     scores.append(0.0)
                     continue
                 top = _top(*_counts(s), depth)
-                at = np.searchsorted(known, top)
-                at[(at == len(known)) | (known[np.minimum(at, len(known) - 1)] != top)] = len(known)
-                p = place[at]
-                far = np.where(p < 0, depth, np.abs(p - np.arange(len(top))[:, None])).sum(0)
+                lo = np.searchsorted(grams, top)
+                n = np.searchsorted(grams, top, "right") - lo
+                mine = np.repeat(np.arange(len(top)), n)
+                at = np.repeat(lo, n) + np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
+                near = depth - np.minimum(np.abs(rank[at] - mine), depth)
+                far = depth * len(top) - np.bincount(owner[at], near, len(names))
                 best = int(far.argmin())
                 langs.append(names[best])
                 scores.append(1 - float(far[best]) / (depth * len(top)))
