@@ -6,11 +6,12 @@ It is trained from the labelled table beside this module by penalised likelihood
 in numpy, many runs at once. A span it finds counts if it overlaps no base span.
 
 Base spans, leftmost and not overlapping within a kind: email, ip (parts at most 255), card (13 to 19
-digits that pass Luhn's check), phone (9 to 15 digits). Matching is linear in the text, however long
-its runs are. Positions are code points, ends exclusive.
+digits that pass Luhn's check), phone (9 to 15 digits). Matching and tagging are linear in the text, in time and
+memory, however long its runs are. Positions are code points, ends exclusive.
 
 Defined results: null text is read as empty and has no spans (the hash is that of the empty string);
-repeated rows are each answered; a null doc_id is passed on."""
+repeated rows are each answered; a null doc_id is passed on; texts of any length are searched whole; an empty table
+gives no rows; other columns are left behind (``masked`` keeps them all; of null text it leaves null)."""
 
 from __future__ import annotations
 
@@ -22,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm import repeats
 from brindle.llm._tables import pick
 from brindle.llm._text import pieces, strings
 from brindle.llm.pii_labelled import lines
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("phone", "secret", "ssn", "iban")
+#: Words that are decoded together, padding included.
+CELLS = 1 << 16
 ORDER = {k: i for i, k in enumerate((*BASE, "secret", "ssn", "iban"))}
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -159,21 +163,21 @@ class Tagger:
         self.emit = np.zeros((0, n))
         self.pass_ = np.zeros((n, n))
 
+    def emissions(self, runs) -> np.ndarray:
+        """The labels' scores for each word of a run, from its features."""
+        out = np.array([self.emit[[self.ids[f] for f in fs if f in self.ids]].sum(0) for fs in runs])
+        out[0, ~self.begins] = -1e9
+        return out
+
     def scores(self, seqs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
         """Emissions of sequences, padded, and their lengths."""
-        size = np.array([len(s) for s in seqs])
-        out = np.zeros((len(seqs), int(size.max()), len(self.labels)))
-        for i, s in enumerate(seqs):
-            for t, fs in enumerate(s):
-                out[i, t] = self.emit[[self.ids[f] for f in fs if f in self.ids]].sum(0)
-        out[:, 0, ~self.begins] = -1e9
-        return out, size
-
-    def viterbi(self, seqs: list[list[list[str]]]) -> list[list[int]]:
+        return _padded([self.emissions(s) for s in seqs])
+
+    def viterbi(self, emissions: list[np.ndarray]) -> list[list[int]]:
         """The best labels of each sequence; all sequences advance together."""
-        e, size = self.scores(seqs)
+        e, size = _padded(emissions)
         go = np.where(self.allowed, self.pass_, -1e9)
-        best, back = e[:, 0], np.zeros(e.shape, np.int64)
+        best, back = e[:, 0], np.zeros(e.shape, np.int8)
         final = best.copy()
         for t in range(1, e.shape[1]):
             step = best[:, :, None] + go
@@ -241,23 +245,40 @@ class Tagger:
         seqs, where = [], []
         for i, text in enumerate(texts):
             for run in _runs(digit_words(text)):
-                seqs.append([features(text, a, z) for a, z in run])
+                seqs.append(self.emissions(features(text, a, z) for a, z in run))
                 where.append((i, run))
-        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        found = []
         order = sorted(range(len(seqs)), key=lambda k: len(seqs[k]))
-        for lo in range(0, len(order), 512):
-            block = order[lo : lo + 512]
+        lo = 0
+        while lo < len(order):
+            # runs of like length go together, as many as fill about so many cells when padded
+            hi = lo + 1
+            while hi < len(order) and hi - lo < 512 and (hi + 1 - lo) * len(seqs[order[hi]]) <= CELLS:
+                hi += 1
+            block = order[lo:hi]
             for k, y in zip(block, self.viterbi([seqs[k] for k in block])):
-                i, run = where[k]
-                for (a, z), label in zip(run, y):
-                    name = self.labels[label]
-                    if name[0] == "B":
-                        out[i].append((name[2:], a, z))
-                    elif name[0] == "I":
-                        out[i][-1] = (name[2:], out[i][-1][1], z)
+                found.append((k, y))
+            lo = hi
+        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        for k, y in sorted(found):
+            i, run = where[k]
+            for (a, z), label in zip(run, y):
+                name = self.labels[label]
+                if name[0] == "B":
+                    out[i].append((name[2:], a, z))
+                elif name[0] == "I":
+                    out[i][-1] = (name[2:], out[i][-1][1], z)
         return out
 
 
+def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(p) for p in parts])
+    out = np.zeros((len(parts), int(size.max()), parts[0].shape[1]))
+    for i, p in enumerate(parts):
+        out[i, : len(p)] = p
+    return out, size
+
+
 def _runs(found: list[tuple[int, int, bool]]) -> list[list[tuple[int, int]]]:
     out: list[list[tuple[int, int]]] = []
     for a, z, follows in found:
@@ -283,7 +304,11 @@ def find(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
     out = []
     for text, more in zip(texts, tagger.spans(texts)):
         base = base_spans(text)
-        more = [s for s in more if all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
+        if base and more:
+            starts, ends = repeats.merged(np.array([b[1] for b in base]), np.array([b[2] for b in base]))
+            at = np.searchsorted(starts, [s[2] for s in more]) - 1  # the last that starts before the span's end
+            free = (at < 0) | (ends[np.maximum(at, 0)] <= [s[1] for s in more])
+            more = [s for s, f in zip(more, free) if f]
         out.append((base, sorted(base + more, key=lambda s: (ORDER[s[0]], s[1]))))
     return out
 
