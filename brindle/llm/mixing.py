@@ -7,11 +7,14 @@ emitted for each integer that the running sum crosses. Neighbours are alike in s
 come within about one document of the target.
 
 A source may hold most rows: places are found by counting (source, size) cells first, and a cell of more
-than ``CELL`` rows is split by hash, so no task ranks more than about that many rows.
+than ``CELL`` rows is split by a hash of the doc_id, so no task ranks more than about that many rows. Rows that
+repeat one doc_id too often for that (in a hot cell, more than a 1024th of all rows) come last in their cell, and are
+split by where they stand in the input.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; a source
 without words has target 0 and nothing taken; an empty table gives no rows; of repeated rows each is
-counted and sampled as a document; a null doc_id is passed on."""
+counted and sampled as a document; a null doc_id is passed on; texts of any length are counted whole; other columns
+are left behind. ``emitted`` keeps them all, but a column copy_no, which it replaces."""
 
 from __future__ import annotations
 
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm._tables import pick
+from brindle.llm._tables import hot_keys, pick
 from brindle.llm._text import TOKEN, pieces, strings, words
 from brindle.session import stored
 
@@ -50,7 +53,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataF
     s = sizes.withColumn("w", w).withColumn("most", F.col("source_size") * float(cap)).withColumn("r", F.col("most") / F.col("w"))
     before = one("r", F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)
     level = (F.sum(F.col("source_size").cast("double")).over(all_) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("w").over(all_) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    s = s.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") <= F.col("r"), F.struct("r", "level"))).over(all_)["level"])
+    s = s.withColumn("level", level).withColumn("k", F.row_number().over(one("r", F.asc_nulls_last("source"))))
+    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("r"), F.struct("k", "level"))).over(all_)["level"])
     return s.select("source", "source_size", F.least("most", F.col("level") * F.col("w")).alias("target"))
 
 
@@ -70,7 +74,17 @@ def sampled(rows: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: str
     while most > cell * 16**digits:
         digits += 1
     part = F.substring("tie", 1, digits) if digits else F.lit("")
-    cells = slim.withColumn("part", part).groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n"))
+    count = lambda x: x.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n"))
+    cells = count(slim.withColumn("part", part))
+    hot = None
+    if most > 4 * cell and (cells.agg(F.max("n")).first()[0] or 0) > 4 * cell:
+        hot = hot_keys(slim, ["tie"], many=cell)
+    if hot is not None:
+        # g comes after all hexadecimal digits
+        part = F.when(F.col("_hot"), F.concat(F.lit("g"), "tie", F.format_string("%03d", "spot"))).otherwise(part)
+        spot = F.pmod(F.xxhash64(F.shiftright(F.monotonically_increasing_id(), 12)), F.lit(1000))
+        rows = rows.withColumn("spot", spot).join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "tie", "left")  # fewer than PARTS rows
+        cells = count(rows.withColumn("part", part).select("source", "size", "part"))
     w = Window.partitionBy("source").orderBy(F.desc("size"), "part").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("ahead", F.coalesce(F.sum("n").over(w), F.lit(0)))
     info = cells.join(t, cells["source"].eqNullSafe(t["source"])).select(cells["source"].alias("_s"), F.col("size").alias("_z"), F.col("part").alias("_p"), "ahead", "source_size", "target")
@@ -80,7 +94,7 @@ def sampled(rows: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: str
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     u = offset(F.col("source"), seed)
     copies = F.floor(F.col("place") * rate + u) - F.floor((F.col("place") - 1) * rate + u)
-    return r.withColumn("copies", F.least(copies, F.lit(cap)).cast("long")).drop("_s", "_z", "_p", "part", "place", "ahead")
+    return r.withColumn("copies", F.least(copies, F.lit(cap)).cast("long")).drop("_s", "_z", "_p", "part", "place", "ahead", "spot", "_hot")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
@@ -93,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: str = "
 
 def emitted(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it has copies, with ``copy_no`` from 1."""
-    cols = docs.columns
+    cols = [c for c in docs.columns if c.lower() != "copy_no"]
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), *[F.col(f"`{c}`").cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("source", "string"), ("text", "string"))])
     d = d.withColumn("size", word_count("text")).withColumn("tie", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).drop("text")
     s = sampled(d, weights, cap, seed).where(F.col("copies") > 0)
@@ -107,7 +121,7 @@ with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
 s as (select source, sum(size)::double source_size, list_extract([{", ".join(f"{x}.0" for x in weights)}]::double[], ((row_number() over (order by source nulls last) - 1) % {len(weights)} + 1)::bigint) w from d group by source),
 r as (select *, source_size * {cap}.0::double most, source_size * {cap}.0::double / w r from s),
 l as (select *, (sum(source_size) over () - coalesce(sum(most) over b, 0)) / (sum(w) over () - coalesce(sum(w) over b, 0)) level from r window b as (order by r, source nulls last rows between unbounded preceding and 1 preceding)),
-t as (select source, source_size, least(most, w * (select first(level order by r, level) from l where level <= r)) target from l),
+t as (select source, source_size, least(most, w * (select first(level order by r, source nulls last) from l where level <= r)) target from l),
 p as (select d.doc_id, d.size, t.source_size::bigint source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end rate,
   (('0x' || substr(md5('{seed}:' || coalesce(d.source, '')), 1, 4))::bigint + 0.5)::double / 65536.0::double u,
   (row_number() over (partition by d.source order by d.size desc, md5(coalesce(d.doc_id::varchar, '')), d.doc_id))::double place from d join t on d.source is not distinct from t.source)
