@@ -26,23 +26,29 @@ def crc_mod(column: str, m: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))
 
 
-#: A key is hot if it has more than one in so many of the rows; so there are fewer hot keys than this.
+#: A key is hot if more than one in so many of the rows have it, and more than ``MANY``; so there are fewer hot keys than this.
 PARTS = 1024
+MANY = 1 << 16
 
 
-def hot_keys(rows: DataFrame, keys: list[str], parts: int = PARTS) -> DataFrame:
-    """The keys that more than a ``parts``-th of all rows have: fewer than ``parts`` rows, which may be broadcast."""
-    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return hot_counts(n, keys, rows.count(), parts)
+def hot_keys(rows: DataFrame, keys: list[str], parts: int = PARTS, many: int = MANY) -> DataFrame | None:
+    """The keys that more than a ``parts``-th of all rows have: fewer than ``parts`` rows, which may be broadcast. None if there are none."""
+    total = rows.count()
+    return hot_counts(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, total, parts, many) if total > many else None
 
 
-def hot_counts(counts: DataFrame, keys: list[str], total: int, parts: int = PARTS) -> DataFrame:
+def hot_counts(counts: DataFrame, keys: list[str], total: int, parts: int = PARTS, many: int = MANY) -> DataFrame | None:
     """The same from counts (keys, _n) of keys that are there already, and how many rows there are."""
-    return stored(counts.where(F.col("_n") > max(total / parts, parts)).select(*keys))
+    if total <= many:
+        return None
+    hot = stored(counts.where(F.col("_n") > max(total / parts, many)).select(*keys), 1)
+    return hot if hot.head(1) else None
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, by: str | Column, how: str = "inner", salts: int = 64) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, by: str | Column, how: str = "inner", salts: int = 64) -> DataFrame:
     """``many`` joined with ``one``, which has a row a key or few; rows of hot keys are spread over ``salts`` tasks by a hash of ``by``."""
+    if hot is None:
+        return many.join(one, keys, how)
     h = F.broadcast(hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot")))  # fewer than PARTS rows
 
     def flagged(df: DataFrame) -> DataFrame:

@@ -16,13 +16,15 @@ link if their distance is at most ``RADIUS`` (100 * intersection >= 90 * union).
    joined recursively, a pair counting only in the lesser of its two home cells. In a small or
    unsplittable cell pairs are ruled out by |d(x,p) - d(y,p)| > RADIUS, ruled in by
    d(x,p) + d(y,p) <= RADIUS, and else verified on the sets. A region of more than ``BLOCK`` classes is
-   first split by pivots in Spark, and what stays larger is joined in pairs of hashed blocks, so that no
-   task holds more than about two blocks.
+   (or ``BYTES`` of sets) is first split by pivots in Spark, and what stays larger is joined in pairs of hashed
+   blocks, so that no task holds more than about two blocks.
 
 Defined results: documents without words, and null texts, have an empty set, link with nothing and are
 their own component; fewer than five words make one shingle; repeated rows are documents of their own
 (each sees the other as similar); a null doc_id is linked and counted, but no component is named by it
-unless all of its are null."""
+unless all of its are null; texts of any length are read whole; an empty table gives no rows; other columns are
+left behind. ``representatives`` keeps all columns, whatever their names, and exactly one row of each component (of
+rows with the same doc_id and text the one of the least row hash); every row without words stays."""
 
 from __future__ import annotations
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm._tables import pick
+from brindle.llm._tables import hot_counts, pick, spread_join
 from brindle.llm._text import TOKEN, U, mix, pieces, prefix, rolling, signed, span_hashes, strings, word_hashes, words
 from brindle.llm.components import components
 from brindle.session import stored
@@ -40,8 +42,9 @@ K = 5
 PERCENT = 90
 RADIUS = 1 - PERCENT / 100
 BLOCK = 2048
-#: Side tables up to this many rows are broadcast; larger ones are joined by shuffle.
-SMALL = 500_000
+BYTES = 32 << 20
+#: A side table of up to this many rows, each of five numbers (so 4 MB), is broadcast; a larger one is joined by shuffle.
+SMALL = 100_000
 
 _EDGES = np.unique(np.floor(9 * 1.5 ** np.arange(60)).astype(np.int64))
 
@@ -226,13 +229,14 @@ def _join_region(t: pa.Table) -> pa.Table:
 
 
 def _split(rows: DataFrame, block: int, pivots: int = 16, levels: int = 2) -> DataFrame:
-    """Splits regions of more than ``block`` classes: by pivots up to ``levels`` times, then into pairs of blocks.
+    """Splits regions of more than ``block`` classes or ``BYTES``: by pivots up to ``levels`` times, then into pairs of blocks.
 
     ``rows``: region (array), f1, f2, w, members, homes (array), path (array). Adds block, a, z."""
     rows = rows.withColumn("region", F.array(F.col("region")))
+    weight = F.sum(F.greatest(F.lit(1.0 / block), F.octet_length("members") / F.lit(float(BYTES))))
     done = None
     for level in range(levels + 1):
-        n = stored(rows.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block))
+        n = stored(rows.groupBy("region").agg(weight.alias("_n"), F.count(F.lit(1)).alias("_m")).where("_n > 1.001 and _m > 1"))
         if not n.head(1):
             small = rows.withColumn("block", F.lit(0)).withColumn("a", F.lit(0)).withColumn("z", F.lit(0))
             return small if done is None else done.unionByName(small)
@@ -240,39 +244,42 @@ def _split(rows: DataFrame, block: int, pivots: int = 16, levels: int = 2) -> Da
         done = small if done is None else done.unionByName(small)
         big = rows.join(n, "region")
         if level == levels:
-            count = F.ceil(F.col("_n") / block).cast("int")
+            count = F.ceil("_n").cast("int")
             big = big.withColumn("block", F.pmod(F.xxhash64("f1", "f2"), count).cast("int"))
             pair = F.transform(F.sequence(F.lit(0), count - 1), lambda o: F.struct(F.least(o, "block").alias("a"), F.greatest(o, "block").alias("z")))
             return done.unionByName(big.withColumn("_p", F.explode(pair)).select("region", "f1", "f2", "w", "members", "homes", "path", "block", "_p.a", "_p.z"))
         pick_ = big.groupBy("region", F.pmod("f1", F.lit(pivots)).alias("_b")).agg(F.min("f1").alias("f1"))
-        pv = big.join(pick_.select("region", "f1"), ["region", "f1"], "left_semi").groupBy("region").agg(F.sort_array(F.collect_set("members")).alias("_pivots"))
-        rows = stored(_cells(big.drop("_n").join(pv, "region")))
+        pv = big.join(pick_.select("region", "f1"), ["region", "f1"], "left_semi").select("region", F.col("members").alias("pivot"), F.explode(F.sequence(F.lit(0), F.ceil("_n").cast("int") - 1)).alias("part"))
+        rows = stored(_cells(big.withColumn("part", F.pmod(F.xxhash64("f1", "f2"), F.ceil("_n")).cast("int")).drop("_n", "_m"), pv))
     return done
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    """Each row in its nearest pivot's cell and, as a guest, in those at most 2 * RADIUS further."""
+def _cells(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Each row in its nearest pivot's cell and, as a guest, in those at most 2 * RADIUS further. A part of a region meets its pivots once."""
 
-    @F.arrow_udf("array<struct<cell:int,home:int>>")
-    def place(members: pa.Array, pivots: pa.Array) -> pa.Array:
-        out, last, ps = [], None, []
-        for m, p in zip(members, pivots):
-            p = p.as_py()
-            if p != last:
-                last, ps = p, [np.frombuffer(x, U) for x in p]
-            s = np.frombuffer(m.as_py(), U)
+    def place(x: pa.Table, p: pa.Table) -> pa.Table:
+        ps = [np.frombuffer(q, U) for q in sorted(set(p["pivot"].to_pylist()))]
+        row, cell, home = [], [], []
+        for r, m in enumerate(x["members"].to_pylist()):
+            s = np.frombuffer(m, U)
             d = []
             for q in ps:
                 i = np.searchsorted(q, s)
                 both = int((q[np.minimum(i, len(q) - 1)] == s).sum())
                 d.append(1 - both / (len(s) + len(q) - both))
-            home = int(np.argmin(d))
-            out.append([{"cell": k, "home": home} for k, x in enumerate(d) if x <= d[home] + 2 * RADIUS + _EPS])
-        return pa.array(out, pa.list_(pa.struct([("cell", pa.int32()), ("home", pa.int32())])))
+            near = int(np.argmin(d))
+            for k, far in enumerate(d):
+                if far <= d[near] + 2 * RADIUS + _EPS:
+                    row.append(r)
+                    cell.append(k)
+                    home.append(near)
+        x = x.drop_columns(["part"]).take(pa.array(row, pa.int64()))
+        return x.append_column("cell", pa.array(cell, pa.int64())).append_column("home", pa.array(home, pa.int64()))
 
-    r = rows.withColumn("_c", F.explode(place("members", "_pivots")))
-    one = lambda c: F.array(F.col(c).cast("long"))
-    return r.select(F.concat("region", one("_c.cell")).alias("region"), "f1", "f2", "w", "members", F.concat("homes", one("_c.home")).alias("homes"), F.concat("path", one("_c.cell")).alias("path"))
+    kind = "region array<long>, f1 long, f2 long, w long, members binary, homes array<long>, path array<long>, cell long, home long"
+    r = rows.select("region", "f1", "f2", "w", "members", "homes", "path", "part").groupBy("region", "part").cogroup(pivots.groupBy("region", "part")).applyInArrow(place, kind)
+    one = lambda c: F.array(F.col(c))
+    return r.select(F.concat("region", one("cell")).alias("region"), "f1", "f2", "w", "members", F.concat("homes", one("home")).alias("homes"), F.concat("path", one("cell")).alias("path"))
 
 
 def _members(docs: DataFrame, reps: DataFrame, block: int) -> DataFrame:
@@ -290,23 +297,25 @@ def _members(docs: DataFrame, reps: DataFrame, block: int) -> DataFrame:
                 c = b.take(pa.array(keep))
                 yield pa.RecordBatch.from_arrays([c.column(4), c.column(1), c.column(2), c.column(3), pa.array(sets, pa.binary())], ["region", "f1", "f2", "w", "members"])
 
-    j = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"])).select("text", "f1", "f2", "w", "region")
+    j = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep.doc_id"]) & (docs["h"] == reps["rep.h"])).select("text", "f1", "f2", "w", "region")
+    # rows that are repeated, id and text, are one class's: the first found is enough
+    j = j.withColumn("_n", F.row_number().over(Window.partitionBy("f1", "f2").orderBy("w"))).where("_n = 1").drop("_n")
     rows = j.mapInArrow(build, "region long, f1 long, f2 long, w long, members binary")
     none = F.array().cast("array<long>")
     return _split(stored(rows.withColumn("homes", none).withColumn("path", none)), block)
 
 
-def link(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, n_similar and component_id of every row."""
-    d = pick(docs, doc_id="bigint", text="string")
-    t = stored(d.withColumn("_r", _describe(F.col("text"))).select("doc_id", "_r.*"))
+def _linked(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Of every row doc_id, h (hash of the text), n, f1, f2; and of every class f1, f2, w, root and how many other documents it links with."""
+    d = pick(docs, doc_id="bigint", text="string").withColumn("h", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    t = stored(d.withColumn("_r", _describe(F.col("text"))).select("doc_id", "h", "_r.*"))
     full = t.where("n > 0")
-    classes = full.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("w"), F.min("doc_id").alias("rep"))
+    classes = full.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("w"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("rep"))
     meet = full.select(F.explode("cells").alias("cell"), "f1", "f2")
     met = meet.groupBy("cell").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi")
     hooks = meet.join(met, "cell").where("f1 <> lo").select(F.col("lo").alias("a"), F.col("f1").alias("b")).distinct()
     regions = components(hooks).toDF("f1", "region")
-    reps = stored(classes.join(regions, "f1"))
+    reps = stored(classes.join(regions, "f1").select("f1", "f2", "w", "rep", "region"))
     if reps.count() <= SMALL:
         reps = F.broadcast(reps)
     groups = _members(d, reps, block).groupBy("region", "path", "a", "z")
@@ -316,21 +325,33 @@ def link(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     linked = found.groupBy("f1", "f2").agg(F.sum("linked").alias("linked"))
     linked = linked.join(comp.select("node.f1", "node.f2", "root"), ["f1", "f2"])
     c = classes.join(linked, ["f1", "f2"], "left").withColumn("root", F.coalesce("root", node("f1", "f2")))
-    c = stored(c)
-    least = c.groupBy("root").agg(F.min("rep").alias("component_id"))
-    c = c.join(least, "root").select("f1", "f2", (F.col("w") - 1 + F.coalesce("linked", F.lit(0))).alias("n_similar"), "component_id")
-    out = t.drop("cells").join(c, ["f1", "f2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
+    return t.drop("cells"), stored(c.select("f1", "f2", "w", "least", "root", F.coalesce("linked", F.lit(0)).alias("linked")))
+
+
+def link(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, n_similar and component_id of every row."""
+    t, c = _linked(docs, block)
+    least = c.groupBy("root").agg(F.min("least").alias("component_id"))
+    hot = hot_counts(c.select("f1", "f2", F.col("w").alias("_n")), ["f1", "f2"], t.count())
+    c = c.join(least, "root").select("f1", "f2", (F.col("w") - 1 + F.col("linked")).alias("n_similar"), "component_id")
+    # rows without words are answered where they are; a class of very many copies is spread
+    out = spread_join(t.where("n > 0"), c, ["f1", "f2"], hot, "doc_id").select("doc_id", "n", "n_similar", "component_id")
+    out = out.unionByName(t.where("n = 0").select("doc_id", "n", F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "n_similar", "component_id")
 
 
 def representatives(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id. Rows repeated under it leave one."""
-    ids = link(docs, block).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    cols = docs.columns
-    d = docs.withColumn("_id", F.col("`doc_id`").cast("bigint"))
-    kept = d.join(ids, d["_id"].eqNullSafe(ids["_keep"]), "left_semi")
-    w = Window.partitionBy("_id", F.xxhash64(F.lower(F.col("`text`").cast("string")))).orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*[F.col(f"`{c}`") for c in cols])
+    """``docs`` with one row of each component: that of the least doc_id."""
+    t, c = _linked(docs, block)
+    hot = hot_counts(c.select("f1", "f2", F.col("w").alias("_n")), ["f1", "f2"], t.count())
+    rows = spread_join(t.where("n > 0").select("doc_id", "h", "f1", "f2"), c.select("f1", "f2", "root"), ["f1", "f2"], hot, "doc_id")
+    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("i"), F.col("k.h").alias("t"))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    d = docs.select(F.struct(*cols).alias("row"), F.col("`doc_id`").cast("bigint").alias("i"), F.coalesce(F.xxhash64(F.col("`text`").cast("string")), F.lit(0)).alias("t"), F.coalesce(F.col("`text`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"))
+    one = Window.partitionBy("i", "t").orderBy(F.xxhash64("row"))
+    first = d.where("words").withColumn("n", F.row_number().over(one)).where("n = 1")
+    kept = first.join(keep.select(F.col("i").alias("_i"), F.col("t").alias("_t")), F.col("i").eqNullSafe(F.col("_i")) & (F.col("t") == F.col("_t")), "left_semi")
+    return kept.select("row").unionByName(d.where("not words").select("row")).select("row.*")
 
 
 def oracle() -> str:
