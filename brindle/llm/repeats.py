@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._tables import pick
+from brindle.llm._tables import hot_counts, pick, spread_join
 from brindle.llm._text import U, mix, pieces, prefix, rolling, signed, sliding_min, span_hashes
 from brindle.session import stored
 
 #: Bits of a window's key that hold the place of its anchor, so a piece has fewer symbols than 2**BITS.
 BITS = 28
+#: Longer texts are gone through in parts of so many windows.
+PART = 1 << 22
 
 
 def anchors(sym: np.ndarray, pre: np.ndarray, end: np.ndarray, length: int, k: int):
@@ -32,8 +34,6 @@ def anchors(sym: np.ndarray, pre: np.ndarray, end: np.ndarray, length: int, k: i
     none = np.zeros(0, np.int64)
     if n < length:
         return none.astype(U), none.astype(U), none, none, none
-    if n >> BITS:
-        raise ValueError("a document is too long")
     g = rolling(pre, k)
     key = (g >> U(BITS) << U(BITS)) | np.arange(len(g), dtype=U)
     p = (sliding_min(key, length - k + 1) & U((1 << BITS) - 1)).astype(np.int64)
@@ -63,9 +63,14 @@ def contexts(docs: DataFrame, symbols, length: int, k: int, size: int) -> DataFr
         for b in pieces(batches, "text", size):
             sym, first = symbols(b.column(2))
             n = np.diff(first)
-            row = np.repeat(np.arange(len(n)), n)
-            g, c, a, off, m = anchors(sym, prefix(sym), first[1:][row], length, k)
-            if len(a):
+            row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            for x in range(0, max(len(sym), 1), PART):
+                # parts overlap by a window less one symbol, so each window is in one of them
+                y = sym[x : x + PART + length - 1]
+                g, c, a, off, m = anchors(y, prefix(y), first[1:][row[x : x + len(y)]] - x, length, k)
+                if not len(a):
+                    continue
+                a = a + x
                 r = row[a]
                 i = pa.array(r)
                 place = (a - first[r]) << 24 | off << 12 | m
@@ -77,8 +82,16 @@ def contexts(docs: DataFrame, symbols, length: int, k: int, size: int) -> DataFr
 
 
 def per_document(rows: DataFrame, *cols: str) -> DataFrame:
-    """doc_id, h and a list of the other columns: as long at most as the document."""
-    return rows.groupBy("doc_id", "h").agg(F.collect_list(F.struct(*cols)).alias("list"))
+    """doc_id, h and a list of the different values of the other columns: as long at most as the document."""
+    return rows.groupBy("doc_id", "h").agg(F.collect_set(F.struct(*cols)).alias("list"))
+
+
+def where_again(t: DataFrame, again: DataFrame) -> DataFrame:
+    """Contexts whose anchor is in ``again`` (anchor, n, several), with its columns; those of a hot anchor are spread."""
+    again = stored(again)
+    total = again.agg(F.sum("n")).first()[0] or 0
+    hot = hot_counts(again.select("anchor", F.col("n").alias("_n")), ["anchor"], total)
+    return stored(spread_join(t, again.drop("n"), ["anchor"], hot, F.struct("h", "place")))
 
 
 def beside(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:

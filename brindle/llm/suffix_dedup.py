@@ -5,15 +5,17 @@ document or another. Which contexts have to be compared is found as in repeats.p
 brought together, and their suffixes from the anchor on are sorted by mergesort: two are compared by their
 common extension, which a binary search over prefix polynomial hashes finds in a logarithmic number of
 steps. Going outward from a context in that order, the least extension passed is what it shares to the
-right; what it shares to the left is searched the same way. Every stretch found is verified on the bytes,
+right; what it shares to the left is searched the same way. Every stretch found by sorting is verified on the bytes,
 and a group in which a hash collided is compared by bytes alone.
 
-An anchor in more than ``HOT`` differing contexts is not brought to one task: its windows are counted in
-Spark by 128 bits of hash. Contexts are compared in hashed buckets of some thousands.
+Two kinds of match aren't sorted, but told by 128 bits of hash in Spark: contexts that recur whole (most of what exact
+copies share), and the windows of an anchor in more than ``HOT`` differing contexts, which is not brought to one task.
+Contexts are compared in hashed buckets of some thousands.
 
 Defined results: a null text is empty; matches never cross documents; a repeated row is another document,
 so both copies go; overlaps within one document count; the hash of nothing kept is that of the empty
-string; a null doc_id is passed on."""
+string; a null doc_id is passed on; texts of any length are read whole; an empty table gives no rows; other columns
+are left behind."""
 
 from __future__ import annotations
 
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import repeats
+from brindle.llm._tables import hot_counts, spread_join
 from brindle.llm._text import _BYTE, U, mix, pieces, prefix, signed, span_hashes, strings
 from brindle.session import stored
 
@@ -259,10 +262,10 @@ def intervals(d: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
     """doc_id, h, a, z: byte intervals to remove from the documents of ``repeats.documents``."""
     t = repeats.contexts(d, _symbols, length, gram, 1 << 18)
     again = t.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
-    s = stored(t.join(again.select("anchor", (F.col("lo") != F.col("hi")).alias("several")), "anchor"))
+    s = repeats.where_again(t, again.select("anchor", "n", (F.col("lo") != F.col("hi")).alias("several")))
     c = s.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(1 << 62))).alias("first"))
-    c = c.withColumnsRenamed({"anchor": "_a", "ctx": "_c"})
-    s = s.join(c, (F.col("anchor") == F.col("_a")) & (F.col("ctx") == F.col("_c")))
+    hot = hot_counts(c.select("anchor", "ctx", F.col("n").alias("_n")), ["anchor", "ctx"], s.count())
+    s = spread_join(s, c, ["anchor", "ctx"], hot, F.struct("h", "place"))
     s = stored(s.select("anchor", "ctx", "doc_id", "h", "place", "several", (F.col("n") > 1).alias("settled"), F.coalesce(F.coalesce("doc_id", F.lit(1 << 62)) == F.col("first"), F.lit(False)).alias("lead")))
     whole = s.where("settled").select("doc_id", "h", F.shiftright("place", 24).alias("a"), (F.shiftright("place", 24) + F.col("place").bitwiseAND(4095)).alias("z"))
     lead = s.where("several and lead")

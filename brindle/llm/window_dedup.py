@@ -7,7 +7,8 @@ polynomial hash together with the 64-bit hash of its anchor.
 
 Defined results: null texts have no words; windows never leave a document; a document shorter than a
 window keeps all; a null doc_id counts as larger than all others; rows with the same doc_id are one place
-(neither is smaller), and each is answered; the hash of nothing kept is that of the empty string."""
+(neither is smaller), and each is answered; the hash of nothing kept is that of the empty string; texts of any length
+are read whole; an empty table gives no rows; other columns are left behind."""
 
 from __future__ import annotations
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import repeats
+from brindle.llm._tables import hot_counts, spread_join
 from brindle.llm._text import TOKEN, pieces, prefix, signed, span_hashes, strings, word_hashes, words
 from brindle.llm._text import U, mix
 from brindle.session import stored
@@ -90,15 +92,17 @@ def intervals(d: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     """doc_id, h, a, z: word intervals to remove from the documents of ``repeats.documents``."""
     t = repeats.contexts(d, _symbols, length, gram, 1 << 19)
     o = F.coalesce("doc_id", F.lit(LAST))
-    again = t.groupBy("anchor").agg(F.min(o).alias("least"), F.max(o).alias("most"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("least < most")
-    s = stored(t.join(again.select("anchor", (F.col("lo") != F.col("hi")).alias("several")), "anchor"))
-    first = s.groupBy("anchor", "ctx").agg(F.min(o).alias("first"))
-    s = stored(s.join(first, ["anchor", "ctx"]).withColumn("later", o > F.col("first")).drop("first"))
+    again = t.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(o).alias("least"), F.max(o).alias("most"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("least < most")
+    s = repeats.where_again(t, again.select("anchor", "n", (F.col("lo") != F.col("hi")).alias("several")))
+    first = s.groupBy("anchor", "ctx").agg(F.min(o).alias("first"), F.count(F.lit(1)).alias("_n"))
+    hot = hot_counts(first.select("anchor", "ctx", "_n"), ["anchor", "ctx"], s.count())
+    s = stored(spread_join(s, first.drop("_n"), ["anchor", "ctx"], hot, F.struct("h", "place")).withColumn("later", o > F.col("first")).drop("first"))
     whole = s.where("later").select("doc_id", "h", F.shiftright("place", 24).alias("a"), (F.shiftright("place", 24) + F.col("place").bitwiseAND(4095)).alias("z"))
     lone = repeats.per_document(s.where("several and not later"), "anchor", "place")
     w = stored(repeats.beside(d, lone, "inner").mapInArrow(_windows(length), "anchor long, w long, doc_id long, h long, s long"))
-    found = w.groupBy("anchor", "w").agg(F.min(o).alias("least"), F.max(o).alias("most")).where("least < most").select("anchor", "w", "least")
-    part = w.join(found, ["anchor", "w"]).where(o > F.col("least")).select("doc_id", "h", F.col("s").alias("a"), (F.col("s") + length).alias("z"))
+    found = stored(w.groupBy("anchor", "w").agg(F.min(o).alias("least"), F.max(o).alias("most"), F.count(F.lit(1)).alias("_n")).where("least < most"))
+    hot = hot_counts(found.select("anchor", "w", "_n"), ["anchor", "w"], w.count())
+    part = spread_join(w, found.select("anchor", "w", "least"), ["anchor", "w"], hot, F.struct("h", "s")).where(o > F.col("least")).select("doc_id", "h", F.col("s").alias("a"), (F.col("s") + length).alias("z"))
     return whole.unionByName(part)
 
 
