@@ -1,16 +1,18 @@
-"""Column expressions over text: tokens, hashes, front matter, HTML. All stay in the JVM."""
+"""Column expressions over text: tokens, hashes, front matter, HTML.
+
+All stay in the JVM, but for entities: there are over two thousand, so titles and attribute values, short as they
+are, are decoded in Arrow batches."""
 
 from __future__ import annotations
 
-from functools import reduce
+import html as _html
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"([\p{L}\p{N}_]{2,})"
 BOILERPLATE = ("script", "style", "nav", "footer", "header", "aside")
-#: Entities that titles and attributes are freed of; the ampersand comes last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 FRONT = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n"
 
 
@@ -38,7 +40,13 @@ def without_front_matter(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    """All named and numeric entities decoded."""
+
+    @F.arrow_udf("string")
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _html.unescape(t) if "&" in t else t for t in col.to_pylist()], pa.string())
+
+    return run(text)
 
 
 def html_body(html: Column) -> Column:
@@ -53,15 +61,14 @@ def html_body(html: Column) -> Column:
 def html_title(html: Column) -> Column:
     """The title with tags out, entities decoded and white space collapsed; null if none or empty."""
     t = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    t = F.trim(F.regexp_replace(unescape(F.regexp_replace(t, "<[^>]+>", " ")), r"\s+", " "))
+    t = F.trim(F.regexp_replace(unescape(F.regexp_replace(t, "<[^>]+>", " ")), r"(?U)\s+", " "))
     return F.when(t != "", t)
 
 
 def _attr(tag: Column, name: str) -> Column:
-    """An attribute's value in a tag, in any of the three quoting styles; null if absent or empty."""
+    """An attribute's raw value in a tag, in any of the three quoting styles; null if absent or empty."""
     found = [F.regexp_extract(tag, rf"(?is)(?<![\w:.-]){name}\s*=\s*{q}", 1) for q in ('"([^"]*)"', "'([^']*)'", r"""([^\s"'>]+)""")]
-    v = F.coalesce(*[F.when(x != "", x) for x in found])
-    return unescape(v)
+    return F.coalesce(*[F.when(x != "", x) for x in found])
 
 
 def _tag(html: Column, tag: str, holds) -> Column:
@@ -76,7 +83,7 @@ def html_meta(html: Column, *names: str) -> Column:
     def named(n):
         return lambda t: (F.coalesce(F.lower(_attr(t, "name")) == n, F.lit(False)) | F.coalesce(F.lower(_attr(t, "property")) == n, F.lit(False))) & _attr(t, "content").isNotNull()
 
-    return F.coalesce(*[_attr(_tag(html, "meta", named(n)), "content") for n in names])
+    return unescape(F.coalesce(*[_attr(_tag(html, "meta", named(n)), "content") for n in names]))
 
 
 def html_description(html: Column) -> Column:
@@ -89,4 +96,4 @@ def html_date(html: Column) -> Column:
 
 def html_url(html: Column) -> Column:
     """The canonical link."""
-    return _attr(_tag(html, "link", lambda t: F.lower(_attr(t, "rel")).contains("canonical") & _attr(t, "href").isNotNull()), "href")
+    return unescape(_attr(_tag(html, "link", lambda t: F.lower(_attr(t, "rel")).contains("canonical") & _attr(t, "href").isNotNull()), "href"))

@@ -44,12 +44,15 @@ def centered(vec: Column, mean: Column, dim: int) -> Column:
 
 
 def hamming(a: Column, b: Column) -> Column:
-    """Differing bits of two arrays of 64-bit words."""
+    """Differing bits of two arrays of 64-bit words; an error if their widths differ."""
+    a = F.when(F.size(a) == F.size(b), a).when(a.isNull() | b.isNull(), a).otherwise(F.raise_error(F.concat(F.lit("codes of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"), F.lit(" words"))).cast("array<bigint>"))
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def hamming_literal(code: Column, words) -> Column:
-    """Differing bits from a fixed code, unrolled; ``words`` are signed 64-bit."""
+    """Differing bits from a fixed code, unrolled; ``words`` are signed 64-bit. An error if a code has another width."""
+    n = len(words)
+    code = F.when((F.size(code) == n) | code.isNull(), code).otherwise(F.raise_error(F.concat(F.lit(f"codes of {n} and "), F.size(code).cast("string"), F.lit(" words"))).cast("array<bigint>"))
     return reduce(add, [F.bit_count(F.get(code, F.lit(i)).bitwiseXOR(F.lit(int(w)))) for i, w in enumerate(words)])
 
 

@@ -68,6 +68,19 @@ class SignCodec:
         return code(vec)
 
 
+    def packed(self, vec: Column) -> Column:
+        """The packed bytes of a vector column, as files hold them; null for null."""
+        codec = self
+
+        @F.arrow_udf("binary")
+        def code(col: pa.Array) -> pa.Array:
+            ok = col.drop_null()
+            raw = iter(codec.encode(_rows(ok))) if len(ok) else iter(())
+            return pa.array([next(raw).tobytes() if v else None for v in col.is_valid().to_pylist()], pa.binary())
+
+        return code(vec)
+
+
 class LevelCodec:
     """Rotation, then each coordinate as one of 2**bits Lloyd-Max levels; compared by inner product.
 
@@ -118,6 +131,20 @@ class LevelCodec:
 
         return code(vec)
 
+    def decoded(self, code: Column) -> Column:
+        """The vectors that a code column stands for; null for null."""
+        codec = self
+
+        @F.arrow_udf("array<double>")
+        def vec(col: pa.Array) -> pa.Array:
+            ok = col.drop_null().to_pylist()
+            x = codec.decode(np.concatenate([codec.unpack(v) for v in ok])) if ok else np.zeros((0, codec.dim))
+            n = np.where(col.is_valid().to_numpy(zero_copy_only=False), codec.dim, 0) if len(col) else np.zeros(0, int)
+            offs = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel()), mask=col.is_null() if col.null_count else None)
+
+        return vec(code)
+
     def similarity(self, code: Column, q: np.ndarray) -> Column:
         """Cosine of each decoded code with a query vector."""
         codec = self

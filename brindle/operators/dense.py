@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,56 @@ def batch(scored: DataFrame, k: int, order: list[Column], by: str = "qid", name:
     return scored.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+def in_blocks(rows: DataFrame, queries: DataFrame, fn, schema: str, block: int = 4096) -> DataFrame:
+    """``fn(queries, rows)`` (Arrow tables) for every block of queries (qid) against every block of rows (row): all meet all,
+    and no task holds more than about two blocks."""
+    nb, qb = (max(1, -(-df.count() // block)) for df in (rows, queries))
+    r = rows.withColumn("_v", F.pmod(F.xxhash64("row"), F.lit(nb)).cast("int")).withColumn("_u", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+    q = queries.withColumn("_u", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int")).withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    return q.groupBy("_u", "_v").cogroup(r.groupBy("_u", "_v")).applyInArrow(fn, schema)
+
+
+def _matrix(col) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+
+
+def products(rows: DataFrame, queries: DataFrame, k: int | None = None, by=None) -> DataFrame:
+    """qid, row, sim: inner products of all rows (row, embedding) with all queries (qid, q), in double precision.
+
+    With ``k`` only each block's k best by ``by(sim)`` (ascending; ties to the lower row), from which the k best overall
+    are sure to come."""
+
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        ids, qs = r["row"].to_numpy(), q["qid"].to_numpy()
+        s = _matrix(q["q"]) @ _matrix(r["embedding"]).T if len(ids) and len(qs) else np.zeros((len(qs), len(ids)))
+        if k is None or k >= len(ids):
+            return pa.table({"qid": np.repeat(qs, len(ids)), "row": np.tile(ids, len(qs)), "sim": s.ravel()})
+        key = by(s)
+        top = np.array([np.lexsort((ids, x))[:k] for x in key], np.int64).reshape(len(qs), k)
+        return pa.table({"qid": np.repeat(qs, k), "row": ids[top].ravel(), "sim": np.take_along_axis(s, top, 1).ravel()})
+
+    return in_blocks(rows.select("row", "embedding"), queries.select("qid", "q"), run, "qid long, row long, sim double")
+
+
+def distances(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, row, dist: differing bits of all rows' codes (row, code) with all queries' (qid, q)."""
+
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        ids, qs = r["row"].to_numpy(), q["qid"].to_numpy()
+        words = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+        d = np.zeros((len(qs), len(ids)), np.int64)
+        if len(ids) and len(qs):
+            a, b = words(r["code"]), words(q["q"])
+            if a.shape[1] != b.shape[1]:
+                raise ValueError(f"codes of {a.shape[1]} and {b.shape[1]} words")
+            for i, x in enumerate(b):
+                d[i] = np.bitwise_count((a ^ x).view(np.uint64)).sum(1)
+        return pa.table({"qid": np.repeat(qs, len(ids)), "row": np.tile(ids, len(qs)), "dist": d.ravel()})
+
+    return in_blocks(rows.select("row", "code"), queries.select("qid", "q"), run, "qid long, row long, dist long")
+
+
 def auto_floor(live: int, bits: int | None = None, dim: int | None = None) -> float:
     """The similarity that chance alone reaches about once in ``live`` rows, with a margin of one deviation."""
     z = math.sqrt(2 * math.log(max(live, 2))) + 1

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.operators import skew
+from brindle.session import stored
 
 K1, B = 1.5, 0.75
 #: Scores are rounded so that copies of a text tie in whatever order their impacts were added.
@@ -41,13 +43,16 @@ def impact(tf: Column, dl: Column, n: Column, df: Column, avgdl: Column, k1: flo
 def postings(docs: DataFrame, row: str = "row", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """row, token, tf, impact of every live document's tokens: the index that searches read.
 
-    Document frequency and length are window-free aggregates joined back, so each is combined on the map
-    side; ordering by token lets a search's filter skip row groups."""
-    tf = term_counts(docs, row, text)
-    dl = lengths(docs, row, text)
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    one = F.broadcast(stats(dl))  # one row
-    j = tf.join(df, "token").join(dl, "row").crossJoin(one)
+    A text is tokenised once for its counts, which keep its length and are written once, and once for the corpus
+    statistics. Only document frequencies are joined back; tokens that most documents hold are spread."""
+    t = docs.select(F.col(row).alias("row"), T.tokens(F.col(text)).alias("_t"))
+    tf = t.select("row", F.size("_t").alias("dl"), F.explode("_t").alias("token")).groupBy("row", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    tf = stored(tf)
+    df = stored(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    one = F.broadcast(stats(t.select(F.coalesce(F.size("_t"), F.lit(0)).alias("dl"))))  # one row
+    total = df.agg(F.sum("df")).first()[0] or 0
+    hot = skew.hot_counts(df.select("token", F.col("df").alias("_n")), ["token"], total)
+    j = skew.spread_join(tf, df, ["token"], hot, "row").crossJoin(one)
     return j.select("row", "token", "tf", impact(F.col("tf"), F.col("dl"), F.col("n"), F.col("df"), F.col("avgdl"), k1, b).alias("impact"))
 
 
@@ -72,8 +77,10 @@ def search(index: DataFrame, query: str | list[str], k: int | None = 10) -> Data
 
 
 def search_many(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """qid, row, score, lex_rank for a table of (qid, text) queries; the queries' tokens join the index."""
+    """qid, row, score, lex_rank for a table of (qid, text) queries; the queries' tokens join the index, hot ones spread."""
     q = queries.select("qid", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    s = index.join(q, "token").groupBy("qid", "row").agg(F.round(F.sum(F.col("impact") * F.col("qtf")), DIGITS).alias("score")).where("score > 0")
+    df = index.join(q.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+    hot = skew.hot_counts(df, ["token"], df.agg(F.sum("_n")).first()[0] or 0)
+    s = skew.spread_join(index, q, ["token"], hot, "row").groupBy("qid", "row").agg(F.round(F.sum(F.col("impact") * F.col("qtf")), DIGITS).alias("score")).where("score > 0")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "row")
     return s.withColumn("lex_rank", F.row_number().over(w)).where(F.col("lex_rank") <= k)

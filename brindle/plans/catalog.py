@@ -1,6 +1,7 @@
 """Named queries over the test tables: one or more for each operator, over whole tables.
 
-The query text is the benchmark's first item, the query vector the first embedding; documents and
+The query text is the benchmark's first item, the query vector the first embedding, and batches of queries are the
+embeddings whose vec_id 100 divides; documents and
 embeddings with the same id are one row of a hybrid corpus. The second snapshot of the corpus leaves out
 one language, edits one source and adds the pages."""
 
@@ -83,19 +84,15 @@ def dense_knn_cosine(spark, sf):
     return s.select(F.col("row").alias("vec_id"), F.round("dense_sim", 6).alias("sim"), F.col("dense_dist").cast("long").alias("dist"), F.col("dense_rank").cast("long").alias("rank"))
 
 
-def _medoids(spark, sf) -> DataFrame:
-    """One query a label: its first vector."""
-    return _emb(spark, sf).groupBy("label").agg(F.min_by("embedding", "row").alias("q"), F.min("row").alias("qid"))
-
-
-def _scored(spark, sf) -> DataFrame:
-    """qid, row, sim of every row for each of the (ten) labels' queries."""
-    q = F.broadcast(_medoids(spark, sf).select("qid", "q"))  # one row a label
-    return _emb(spark, sf).crossJoin(q).select("qid", "row", "label", "embedding", V.dot(F.col("embedding"), F.col("q")).alias("sim"))
+def _asked(spark, sf) -> DataFrame:
+    """The queries of batch searches: every row whose vec_id 100 divides."""
+    return _emb(spark, sf).where("row % 100 = 0").select(F.col("row").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("mine"))
 
 
 def dense_knn_batch(spark, sf):
-    s = dense.batch(_scored(spark, sf).withColumn("dist", V.angular(F.col("sim"))), 10, [F.col("dist"), F.col("row")])
+    dist = lambda s: np.rint((1 - s) * 10000)
+    s = dense.products(_emb(spark, sf), _asked(spark, sf), 10, dist).withColumn("dist", V.angular(F.col("sim")))
+    s = dense.batch(s, 10, [F.col("dist"), F.col("row")])
     return s.select("qid", F.col("row").alias("vec_id"), F.col("dist").cast("long").alias("dist"), F.col("dense_rank").cast("long").alias("rank"))
 
 
@@ -163,10 +160,10 @@ def hamming_scan_topk(spark, sf):
 
 
 def _hamming_all(spark, sf) -> DataFrame:
+    """qid, row, dist of every row's code for each of the queries'."""
     c, e = _codes(spark, sf)
-    e = stored(e.select("row", "label", "code"))
-    q = F.broadcast(_medoids(spark, sf).select("qid").join(e.select(F.col("row").alias("qid"), F.col("code").alias("q")), "qid"))  # one row a label
-    return e.crossJoin(q).select("qid", "row", "label", V.hamming(F.col("code"), F.col("q")).cast("long").alias("dist"))
+    e = stored(e.select("row", "code"))
+    return dense.distances(e, e.where("row % 100 = 0").select(F.col("row").alias("qid"), F.col("code").alias("q")))
 
 
 def hamming_batch_topk(spark, sf):
@@ -304,20 +301,20 @@ def page_chunks(spark, sf):
 
 
 def recall_at_k(spark, sf):
-    exact = dense.batch(_scored(spark, sf), 10, [F.desc("sim"), F.col("row")])
+    exact = dense.batch(dense.products(_emb(spark, sf), _asked(spark, sf), 10, lambda s: -s), 10, [F.desc("sim"), F.col("row")])
     found = dense.batch(_hamming_all(spark, sf), 10, [F.col("dist"), F.col("row")])
     return evaluation.recall(exact, found, 10).select(F.round("recall", 6).alias("recall"))
 
 
 def spearman_rho(spark, sf):
     h = _hamming_all(spark, sf).select("qid", "row", (-F.col("dist")).alias("h"))
-    s = _scored(spark, sf).select("qid", "row", F.round("sim", 9).alias("s")).join(h, ["qid", "row"])
+    s = dense.products(_emb(spark, sf), _asked(spark, sf)).select("qid", "row", F.round("sim", 9).alias("s")).join(h, ["qid", "row"])
     return evaluation.spearman(s, "s", "h").select("qid", F.round("rho", 6).alias("rho"))
 
 
 def ndcg_at_k(spark, sf):
-    own = F.broadcast(_emb(spark, sf).groupBy("label").agg(F.min("row").alias("qid")).select("qid", F.col("label").alias("mine")))  # one row a label
-    g = _hamming_all(spark, sf).join(own, "qid").withColumn("grade", (F.col("label") == F.col("mine")).cast("int"))
+    e = _emb(spark, sf).select("row", "label")
+    g = _hamming_all(spark, sf).join(e, "row").join(_asked(spark, sf).select("qid", "mine"), "qid").withColumn("grade", (F.col("label") == F.col("mine")).cast("int"))
     r = dense.batch(g, 10, [F.col("dist"), F.col("row")], name="rank")
     i = dense.batch(g, 10, [F.desc("grade"), F.col("row")], name="rank")
     return evaluation.ndcg(r, i, 10).select("qid", F.round("ndcg", 6).alias("ndcg"))
@@ -363,8 +360,12 @@ _QUERIES = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    from brindle.plans import roundtrips
+
+    return {q.__name__: q for q in (*_QUERIES, *roundtrips.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.SQL)
+    from brindle.plans import oracle_roundtrips
+
+    return oracle.SQL | oracle_roundtrips.SQL

@@ -34,7 +34,7 @@ select qid, doc_id, round(score, 6) score from s qualify row_number() over (part
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::double * p[2]::double))"
 _ANG = "round_even((1 - {}) * 10000, 0)::bigint"
 _Q1 = "qv as (select embedding q from embeddings order by vec_id limit 1)"
-_MED = "qm as (select min(vec_id) qid, min_by(embedding, vec_id) q, label mine from embeddings group by label)"
+_MED = "qm as (select vec_id qid, embedding q, label mine from embeddings where vec_id % 100 = 0)"
 _SC = f"sc as (select qid, mine, vec_id, label, {_DOT.format(a='embedding', b='q')} sim from embeddings, qm)"
 SQL["dense_knn_cosine"] = f"""with {_Q1}, s as (select vec_id, {_DOT.format(a="embedding", b="q")} sim from embeddings, qv), d as (select *, {_ANG.format("sim")} dist from s)
 select vec_id, round(sim, 6) sim, dist, row_number() over (order by dist, vec_id) rank from d order by rank limit 20"""

@@ -1,8 +1,10 @@
 """The two portable file formats: one zip that holds all (format 1), or an index zip beside text shards (format 2).
 
 A file of either kind is read row by row in parallel by a data source of its own; what a file promises is
-checked when it is opened, in the order the format lays down. Writing a single zip is a sequential job,
-so rows stream through the driver without being held there."""
+checked when it is opened, in the order the format lays down; tasks then read only their own bytes. Writing a
+single zip is a sequential job: rows stream through the driver into files, and what is held there is numbers (ids,
+offsets, codes of format 2, row numbers), no text. Shards are read by byte range, from a folder, over http, or through
+a function that is given."""
 
 from __future__ import annotations
 
@@ -12,10 +14,15 @@ import io
 import json
 import os
 import struct
+import tempfile
+import urllib.request
 import zipfile
+from array import array
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +31,7 @@ from brindle.functions import projection
 from brindle.functions.embedding import check_fingerprint
 from brindle.operators import dense, fusion, lexical, mutation
 from brindle.operators.codecs import LevelCodec, SignCodec
+from brindle.session import stored
 
 V1 = ("manifest.json", "vectors.bin", "chunks.jsonl")
 V2 = ("manifest.json", "vectors.bin", "chunk_map.bin", "chunk_ids.bin")
@@ -57,6 +65,31 @@ def detect(path: str) -> str:
     raise ValueError(f"{path} is of neither format")
 
 
+def fetch_range(uri: str, start: int, length: int) -> bytes:
+    """Bytes of a file or of an http(s) resource; a server that ignores ranges is read to the end of the range."""
+    if uri.startswith(("http://", "https://")):
+        r = urllib.request.Request(uri, headers={"Range": f"bytes={start}-{start + length - 1}"})
+        with urllib.request.urlopen(r) as s:
+            raw = s.read(length) if s.status == 206 else s.read(start + length)[start:]
+    else:
+        with open(uri.removeprefix("file://"), "rb") as f:
+            f.seek(start)
+            raw = f.read(length)
+    if len(raw) != length:
+        raise OSError(f"{uri} ends before byte {start + length}")
+    return raw
+
+
+def local_copy(path: str) -> str:
+    """The path of an index file; one named by http(s) is fetched to a file of the driver's first."""
+    if not path.startswith(("http://", "https://")):
+        return path
+    with urllib.request.urlopen(path) as s, tempfile.NamedTemporaryFile(suffix=os.path.splitext(path)[1], delete=False) as f:
+        while block := s.read(1 << 20):
+            f.write(block)
+    return f.name
+
+
 def npy(raw: bytes) -> np.ndarray:
     """An array file: known types, C order only."""
     a = np.load(io.BytesIO(raw), allow_pickle=False)
@@ -80,12 +113,13 @@ def _row_bytes(b: dict) -> int:
 
 
 class Archive:
-    """An opened and checked file."""
+    """An opened and checked file. ``fetch`` (uri, start, length) reads its shards."""
 
-    def __init__(self, path: str):
-        self.path = path
-        self.format = detect(path)
-        self.zip = zipfile.ZipFile(path)
+    def __init__(self, path: str, fetch: Callable[[str, int, int], bytes] = fetch_range):
+        self.path, self.fetch = path, fetch
+        file = local_copy(path)
+        self.format = detect(file)
+        self.zip = zipfile.ZipFile(file)
         names = set(self.zip.namelist())
         need = V1 if self.format == "1" else V2
         if missing := [n for n in need if n not in names]:
@@ -93,7 +127,7 @@ class Archive:
         have = [n for n in BM25 if n in names]
         if self.format == "2" and have and len(have) != len(BM25):
             raise ArchiveError(1, "a part of the lexical index is missing")
-        if any(self.zip.getinfo(n).compress_type != zipfile.ZIP_STORED for n in need):
+        if any(self.zip.getinfo(n).compress_type != zipfile.ZIP_STORED for n in (*need, *have)):
             raise ArchiveError(1, "entries must be stored, not compressed")
         self.manifest = m = json.loads(self.zip.read("manifest.json"))
         if m.get("spec_version") != self.format or (self.format == "2" and m.get("kind") != "split-index"):
@@ -150,7 +184,9 @@ class Archive:
     @property
     def shards(self) -> str:
         uri = self.manifest["chunks"]["uri"]
-        return uri if os.path.isabs(uri) or "://" in uri else os.path.join(os.path.dirname(os.path.abspath(self.path)), uri)
+        if os.path.isabs(uri) or "://" in uri:
+            return uri
+        return f"{self.path.rpartition('/')[0]}/{uri}" if "://" in self.path else os.path.join(os.path.dirname(os.path.abspath(self.path)), uri)
 
     def codec(self):
         """What encodes queries for this file: its planes, stored or made from the seed."""
@@ -171,43 +207,80 @@ class Archive:
             raise ValueError("the file doesn't carry its rotations, and they can't be remade from the seed; its codes can be read and migrated, but not queried")
         return SignCodec(b["dim"], b["k"], b["seed"], kind, b.get("srht_rounds", 3), mean, planes)
 
+    def places(self, rows: list[int]) -> list[tuple[str, int, int]]:
+        """The shard, first byte and length of rows' texts (format 2)."""
+        return [(f"{self.shards.rstrip('/')}/shard-{self.map[r][0]:04d}.bin", self.map[r][3], self.map[r][4]) for r in rows]
+
     def texts(self, rows: list[int]) -> list[tuple[str, dict, str]]:
         """text, meta and stored hash of rows, by byte range from the shards."""
-        out, files = [], {}
-        for r in rows:
-            shard, _, _, at, n, _ = self.map[r]
-            if shard not in files:
-                files[shard] = open(os.path.join(self.shards, f"shard-{shard:04d}.bin"), "rb")
-            files[shard].seek(at)
-            head, _, text = files[shard].read(n).partition(b"\n")
-            head = json.loads(head)
-            out.append((text.decode(), head["meta"], head["sha256"]))
-        for f in files.values():
-            f.close()
+        return _bodies(self.places(rows), self.fetch)
+
+    def parts(self, with_text: bool, size: int = PART) -> list[_Part]:
+        """The rows in parts that tasks can read by themselves."""
+        out = []
+        ends = np.cumsum([0, *(len(x.encode()) + 1 for x in self.lines)]) if self.format == "1" else None
+        if ends is not None and ends[-1] != self.zip.getinfo("chunks.jsonl").file_size:  # blank lines in between
+            ends = None
+        for a in range(0, self.n, size):
+            z = min(self.n, a + size)
+            p = _Part(self.path, a, self.codes[a:z].tobytes(), self.row_bytes)
+            if self.format == "2":
+                p.ids, p.dead = self.ids[a:z], [bool(self.map[i][1] & 1) for i in range(a, z)]
+                p.places = self.places(list(range(a, z))) if with_text else None
+            elif ends is None:
+                p.lines = "\n".join(self.lines[a:z]).encode()
+            else:
+                p.where = (self._start("chunks.jsonl") + int(ends[a]), int(ends[z] - ends[a]))
+            out.append(p)
         return out
 
-    def rows(self, a: int, z: int, with_text: bool = True):
-        """(row, chunk_id, text, meta as JSON, sha256, tombstone, code) of rows a to z - 1."""
-        if self.format == "1":
-            for i in range(a, z):
-                c = json.loads(self.lines[i])
-                yield i, c["id"], c["text"], json.dumps(c.get("meta", {}), ensure_ascii=False), c["sha256"], False, self.codes[i].tobytes()
-            return
-        t = self.texts(list(range(a, z))) if with_text else [(None, None, None)] * (z - a)
-        for i, (text, meta, sha) in zip(range(a, z), t):
-            yield i, self.ids[i], text, None if meta is None else json.dumps(meta, ensure_ascii=False), sha, bool(self.map[i][1] & 1), self.codes[i].tobytes()
-
-    def postings(self, spark: SparkSession) -> DataFrame:
-        """row (absolute), token, impact, as stored."""
-        col = np.repeat(np.arange(len(self.indptr) - 1), np.diff(self.indptr))
+    def _start(self, name: str) -> int:
+        """Where an entry's bytes begin in the file."""
+        at = self.zip.getinfo(name).header_offset
+        with open(self.zip.filename, "rb") as f:
+            f.seek(at + 26)
+            n, m = struct.unpack("<HH", f.read(4))
+        return at + 30 + n + m
+
+    def postings(self, spark: SparkSession, tokens: list[str] | None = None) -> DataFrame:
+        """row (absolute), token, impact, as stored: of all tokens, or of some."""
+        cols = sorted(self.vocab.values()) if tokens is None else sorted({self.vocab[t] for t in tokens if t in self.vocab})
         name = {v: k for k, v in self.vocab.items()}
-        rows = [(self.live[int(r)], name[int(c)], float(x)) for r, c, x in zip(self.indices, col, self.data) if int(c) in name]
-        return spark.createDataFrame(rows, "row long, token string, impact double")
+        n = np.diff(self.indptr)[cols] if cols else np.zeros(0, np.int64)
+        at = np.concatenate([np.zeros(0, np.int64), *[np.arange(self.indptr[c], self.indptr[c + 1]) for c in cols]]).astype(np.int64)
+        rows = np.array(self.live, np.int64)[self.indices[at]] if len(at) else np.zeros(0, np.int64)
+        t = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(cols), dtype=np.int32), n)), pa.array([name[c] for c in cols], pa.string())).cast(pa.string())
+        return spark.createDataFrame(pa.table([pa.array(rows), t, pa.array(self.data[at].astype(np.float64))], names=["row", "token", "impact"]))
+
+
+def _bodies(places: list[tuple[str, int, int]], fetch) -> list[tuple[str, dict, str]]:
+    out = []
+    for uri, at, n in places:
+        head, _, text = fetch(uri, at, n).partition(b"\n")
+        head = json.loads(head)
+        out.append((text.decode(), head["meta"], head["sha256"]))
+    return out
 
 
 class _Part(InputPartition):
-    def __init__(self, a: int, z: int):
-        self.a, self.z = a, z
+    """Rows from ``a`` on: their codes and ids, and where their texts are."""
+
+    ids = dead = places = lines = where = None
+
+    def __init__(self, path: str, a: int, codes: bytes, width: int):
+        self.path, self.a, self.codes, self.width = path, a, codes, width
+
+    def rows(self, fetch):
+        """(row, chunk_id, text, meta as JSON, sha256, tombstone, code)."""
+        code = [self.codes[i : i + self.width] for i in range(0, len(self.codes), self.width)]
+        if self.ids is None:
+            raw = self.lines if self.lines is not None else fetch(self.path, *self.where)
+            for i, (c, x) in enumerate(zip(map(json.loads, filter(bytes.strip, raw.split(b"\n"))), code)):
+                yield self.a + i, c["id"], c["text"], json.dumps(c.get("meta", {}), ensure_ascii=False), c["sha256"], False, x
+            return
+        for i, (id, dead, x) in enumerate(zip(self.ids, self.dead, code)):
+            text, meta, sha = _bodies(self.places[i : i + 1], fetch)[0] if self.places else (None, None, None)
+            yield self.a + i, id, text, None if meta is None else json.dumps(meta, ensure_ascii=False), sha, dead, x
 
 
 class ArchiveSource(DataSource):
@@ -229,11 +302,12 @@ class _Reader(DataSourceReader):
         self.path, self.with_text = path, with_text
 
     def partitions(self):
-        n = Archive(self.path).n
-        return [_Part(a, min(n, a + PART)) for a in range(0, n, PART)] or [_Part(0, 0)]
+        """The file is opened and checked once, here; each task gets what it needs to read its own rows."""
+        return Archive(self.path).parts(self.with_text) or [_Part(self.path, 0, b"", 1)]
 
     def read(self, partition):
-        yield from Archive(self.path).rows(partition.a, partition.z, self.with_text)
+        if partition.codes:
+            yield from partition.rows(fetch_range)
 
 
 def read(spark: SparkSession, path: str, with_text: bool = True) -> DataFrame:
@@ -270,20 +344,30 @@ def _embedder(e) -> dict:
 
 
 def write_v1(rows: DataFrame, out: str, embedder, codec, source: str = "") -> None:
-    """rows: chunk_id, text, meta (JSON), code (binary), pos. Lines and codes follow pos."""
-    vec, lines, n, h = [], [], 0, hashlib.sha256()
-    for r in rows.orderBy("pos").toLocalIterator():
-        vec.append(bytes(r["code"]))
-        lines.append(json.dumps({"id": r["chunk_id"], "sha256": hashlib.sha256(r["text"].encode()).hexdigest(), "text": r["text"], "meta": json.loads(r["meta"] or "{}")}, ensure_ascii=False))
-        n += 1
-    vectors, chunks = b"".join(vec), "".join(x + "\n" for x in lines).encode()
-    h.update(vectors + chunks)
-    m = {"spec_version": "1", "embedder": _embedder(embedder), "prompts": embedder.prompts, "binarizer": _binarizer(codec, embedder.full_dim), "corpus": {"chunk_count": n, "build_hash": h.hexdigest(), "built_at": _now(), "source": source}}
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        z.writestr("manifest.json", json.dumps(m))
-        z.writestr("vectors.bin", vectors)
-        z.writestr("chunks.jsonl", chunks)
-        _planes(z, codec)
+    """rows: chunk_id, text, meta (JSON), code (binary), pos. Lines and codes follow pos. Whole or not at all."""
+    n, vec, lines = 0, hashlib.sha256(), f"{out}.lines"
+    try:
+        with open(f"{out}.codes", "wb") as v, open(lines, "wb") as f:
+            for r in rows.orderBy("pos").toLocalIterator(prefetchPartitions=True):
+                v.write(bytes(r["code"]))
+                vec.update(bytes(r["code"]))
+                line = {"id": r["chunk_id"], "sha256": hashlib.sha256(r["text"].encode()).hexdigest(), "text": r["text"], "meta": json.loads(r["meta"] or "{}")}
+                f.write((json.dumps(line, ensure_ascii=False) + "\n").encode())
+                n += 1
+        with open(lines, "rb") as f:  # the hash covers the codes, then the lines
+            while block := f.read(1 << 20):
+                vec.update(block)
+        m = {"spec_version": "1", "embedder": _embedder(embedder), "prompts": embedder.prompts, "binarizer": _binarizer(codec, embedder.full_dim), "corpus": {"chunk_count": n, "build_hash": vec.hexdigest(), "built_at": _now(), "source": source}}
+        with zipfile.ZipFile(f"{out}.new", "w", zipfile.ZIP_STORED) as z:
+            z.writestr("manifest.json", json.dumps(m))
+            z.write(f"{out}.codes", "vectors.bin")
+            z.write(lines, "chunks.jsonl")
+            _planes(z, codec)
+        os.replace(f"{out}.new", out)
+    finally:
+        for x in (f"{out}.codes", lines):
+            if os.path.exists(x):
+                os.remove(x)
 
 
 def write_v2(rows: DataFrame, out: str, embedder_meta: dict, prompts: dict, codec, full_dim: int, version: int = 1, shard_max_bytes: int = 20 << 20, source: str = "", min_sim=None, binarizer: dict | None = None, with_lexical: bool = True, k1: float = lexical.K1, b: float = lexical.B) -> None:
@@ -329,13 +413,19 @@ def write_v2(rows: DataFrame, out: str, embedder_meta: dict, prompts: dict, code
 
 
 def _lexical(z: zipfile.ZipFile, live: DataFrame, n: int, k1: float, b: float) -> None:
-    """The inverted index as a column-compressed matrix over live rows in order."""
-    p = lexical.postings(live, k1=k1, b=b).select("token", "row", "impact").toPandas()
-    order = {r: i for i, r in enumerate(sorted(x["row"] for x in live.select("row").collect()))}
-    p = p.assign(i=p["row"].map(order)).sort_values(["token", "i"])
-    vocab = {t: i for i, t in enumerate(p["token"].unique().tolist())}
-    counts = p.groupby("token", sort=True).size().to_numpy() if len(p) else np.zeros(0, int)
-    for name, a in zip(BM25, (p["impact"].to_numpy("<f4"), p["i"].to_numpy("<i4"), np.concatenate([[0], np.cumsum(counts)]).astype("<i4"))):
+    """The inverted index as a column-compressed matrix over live rows in order. Twelve bytes a posting pass through the driver."""
+    order = np.sort(np.fromiter((r[0] for r in live.select("row").toLocalIterator()), np.int64))
+    data, at, ends, vocab = array("f"), array("q"), array("q", [0]), {}
+    for r in lexical.postings(live, k1=k1, b=b).select("token", "row", "impact").orderBy("token", "row").toLocalIterator(prefetchPartitions=True):
+        if r["token"] not in vocab:
+            vocab[r["token"]] = len(vocab)
+            if len(vocab) > 1:
+                ends.append(len(at))
+        data.append(r["impact"])
+        at.append(r["row"])
+    if vocab:
+        ends.append(len(at))
+    for name, a in zip(BM25, (np.array(data, "<f4"), np.searchsorted(order, np.array(at, np.int64)).astype("<i4"), np.array(ends, "<i4"))):
         raw = io.BytesIO()
         np.save(raw, a)
         z.writestr(name, raw.getvalue())
@@ -343,6 +433,29 @@ def _lexical(z: zipfile.ZipFile, live: DataFrame, n: int, k1: float, b: float) -
     z.writestr(BM25[4], json.dumps(vocab))
 
 
+def pack(spark: SparkSession, root: str, out: str, embedder, kind: str = "1", pattern: str = "**/*", handlers: dict | None = None, codec: str = "sign", dim: int = 256, k: int = 8, seed: int = 0, bits: int = 4, projection: str = "srht", srht_rounds: int = 3, rotations_quant: str = "float32", source: str = "", min_sim=None) -> int:
+    """A directory's chunks as one file of format 1, or of format 2 with shards; gives the number of chunks. None is an error."""
+    from brindle.sources.documents import directory_chunks
+
+    c = mutation.numbered(directory_chunks(spark, root, handlers, pattern), ["source_path", "ord"], row="row")
+    c = stored(embedder.attach(c))
+    if not c.head(1):
+        raise ValueError(f"no chunks under {root}")
+    if codec == "levels":
+        q = LevelCodec(dim, bits, seed)
+        c = c.withColumn("code", q.column(F.col("vector")))
+    else:
+        mean = [r["mean"] for r in dense.mean_vector(c, "vector").orderBy("pos").collect()]
+        q = SignCodec(dim, k, seed, projection, srht_rounds, np.array(mean, "<f4"), int8=rotations_quant == "int8")
+        c = c.withColumn("code", q.packed(F.col("vector")))
+    rows = c.select("row", F.col("row").alias("pos"), "chunk_id", "text", F.to_json("meta").alias("meta"), F.lit(False).alias("tombstone"), "code")
+    if kind == "1":
+        write_v1(rows, out, embedder, q, source or root)
+    else:
+        write_v2(rows, out, _embedder(embedder), embedder.prompts, q, embedder.full_dim, source=source or root, min_sim=min_sim)
+    return c.count()
+
+
 def migrate(spark: SparkSession, path: str, out: str, shard_max_bytes: int = 20 << 20) -> None:
     """Format 1 to 2 with the codes as they are; the projection is the old files' own, and width travels along."""
     a = Archive(path)
@@ -378,8 +491,8 @@ def _words(code: Column, n: int) -> Column:
 class ArchiveIndex:
     """Searches a file as it is."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.archive = spark, Archive(path)
+    def __init__(self, spark: SparkSession, path: str, fetch: Callable[[str, int, int], bytes] = fetch_range):
+        self.spark, self.archive = spark, Archive(path, fetch)
         self.codec = self.archive.codec()
         self.hot = read(spark, path, with_text=False) if self.archive.format == "2" else read(spark, path)
 
@@ -409,7 +522,7 @@ class ArchiveIndex:
             hits = dense.ranked(d, order, k, "rank").withColumn("bm25_score", F.lit(None).cast("double")).withColumn("fused", F.lit(None).cast("double"))
         else:
             pool = over_fetch or fusion.default_over_fetch(k)
-            d, x = dense.ranked(d, order, pool, "dense_rank"), lexical.search(a.postings(self.spark), query, pool)
+            d, x = dense.ranked(d, order, pool, "dense_rank"), lexical.search(a.postings(self.spark, lexical.query_tokens(query)), query, pool)
             hits = fusion.rrf(d, x, k, rrf_c) if alpha is None else fusion.weighted(d, x, k, alpha)
         return hits.join(self.hot.select("row", "chunk_id"), "row").select("row", "chunk_id", "dense_dist", "dense_sim", "bm25_score", "fused", "rank").orderBy("rank")
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import fnmatch
-import html
 import io
+import os
 import re
+import warnings
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -117,7 +118,8 @@ def html_tree(raw: str) -> tuple[str, dict[str, str]]:
 
 
 def _by_function(kind: str, fn):
-    """A handler from a function of bytes to (text, meta); what it raises makes an empty text."""
+    """A handler from a function of bytes to (text, meta). What it raises is warned of, and makes an empty text whose
+    meta names the reason, as one bad file mustn't end the scan."""
 
     def handler(content: Column) -> Column:
         @F.arrow_udf("struct<text:string,meta:map<string,string>>")
@@ -126,8 +128,10 @@ def _by_function(kind: str, fn):
             for raw in col.to_pylist():
                 try:
                     text, meta = fn(bytes(raw))
-                except Exception:  # one bad file mustn't end the scan; it comes out empty and is skipped
-                    text, meta = "", {}
+                except Exception as x:
+                    text, meta = "", {"warning": f"{type(x).__name__}: {x}"}
+                if "warning" in meta:
+                    warnings.warn(f"{kind}: {meta['warning']}; the text stays empty", stacklevel=2)
                 texts.append(text)
                 metas.append([("kind", kind), *((k, str(v)) for k, v in meta.items())])
             return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(metas, pa.map_(pa.string(), pa.string()))], ["text", "meta"])
@@ -143,14 +147,21 @@ def _pdf(raw: bytes) -> tuple[str, dict]:
 
     r = pypdf.PdfReader(io.BytesIO(raw))
     if r.is_encrypted:
-        return "", {}
+        return "", {"warning": "encrypted"}
     return "\n\n".join(p.extract_text() or "" for p in r.pages).strip(), {"page_count": len(r.pages)}
 
 
 html_dom = _by_function("html", lambda raw: html_tree(raw.decode("utf-8", "replace")))
 pdf = _by_function("pdf", _pdf)
 
-HANDLERS = {".md": markdown, ".markdown": markdown, ".txt": plain("text"), ".rst": plain("rst"), ".html": html_patterns, ".htm": html_patterns, ".pdf": pdf}
+
+def html_any(content: Column) -> Column:
+    """HTML through the parser; what it can't take, by patterns."""
+    d = html_dom(content)
+    return F.when(F.element_at(d["meta"], "warning").isNull(), d).otherwise(html_patterns(content))
+
+
+HANDLERS = {".md": markdown, ".markdown": markdown, ".txt": plain("text"), ".rst": plain("rst"), ".html": html_any, ".htm": html_any, ".pdf": pdf}
 
 
 def _glob(pattern: str) -> str:
@@ -163,7 +174,19 @@ def directory(spark: SparkSession, root: str, handlers: dict | None = None, patt
     """path (relative), text, meta of every file of a known suffix under ``root`` (or of one file).
 
     ``handlers`` replaces the default registry: suffix to a function of the content column. Files that
-    come out empty are left out."""
+    come out empty are left out; see ``skipped``."""
+    d = _scanned(spark, root, handlers, pattern)
+    return d.where(T.strip(F.col("text")) != "")
+
+
+def skipped(spark: SparkSession, root: str, handlers: dict | None = None, pattern: str = "**/*") -> DataFrame:
+    """path, reason of the files that come out empty: what went wrong, or 'empty'."""
+    d = _scanned(spark, root, handlers, pattern).where(T.strip(F.col("text")) == "")
+    return d.select("path", F.coalesce(F.element_at("meta", "warning"), F.lit("empty")).alias("reason"))
+
+
+def _scanned(spark: SparkSession, root: str, handlers: dict | None, pattern: str) -> DataFrame:
+    """All files of a known suffix."""
     ready(spark)
     handlers = HANDLERS if handlers is None else handlers
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
@@ -177,8 +200,7 @@ def directory(spark: SparkSession, root: str, handlers: dict | None = None, patt
     for fn in dict.fromkeys(handlers.values()):
         part = raw.where(F.col("suffix").isin(*[s for s, f in handlers.items() if f is fn])).select("path", fn(F.col("content")).alias("_d"))
         out = part if out is None else out.unionByName(part)
-    d = out.select("path", F.col("_d.text").alias("text"), F.map_concat(F.map_filter("_d.meta", lambda k, _: k != "source_path"), F.create_map(F.lit("source_path"), F.col("path"))).alias("meta"))
-    return d.where(T.strip(F.col("text")) != "")
+    return out.select("path", F.col("_d.text").alias("text"), F.map_concat(F.map_filter("_d.meta", lambda k, _: k != "source_path"), F.create_map(F.lit("source_path"), F.col("path"))).alias("meta"))
 
 
 def corpus(spark: SparkSession, root: str) -> DataFrame:
@@ -205,11 +227,23 @@ def page_chunks(pages: DataFrame, target: int = chunking.TARGET) -> DataFrame:
     return c.select("chunk_id", "ord", "text", "sha256", _meta(url=F.col("source"), title=F.col("title"), kind=F.lit("html")).alias("meta"))
 
 
-def unescaped(text: Column) -> Column:
-    """All named and numeric entities decoded."""
+def write_files(files: DataFrame, root: str) -> None:
+    """Writes path (relative), content (binary) as files under ``root``, in parallel, on any file system that Arrow knows."""
+    from pyarrow import fs
+
+    def run(batches):
+        where, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}")
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                where.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with where.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    files.select("path", F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
-    @F.arrow_udf("string")
-    def run(col: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else html.unescape(t) for t in col.to_pylist()], pa.string())
 
-    return run(text)
+def newest(roots: list[str], patterns: tuple = ("*.kb", "*.kbi")) -> str | None:
+    """The artifact under the folders that was changed last; None if there is none. For the driver's own disks."""
+    found = [os.path.join(r, f) for r in roots if os.path.isdir(r) for f in os.listdir(r) if any(fnmatch.fnmatch(f, p) for p in patterns)]
+    return max(sorted(found), key=os.path.getmtime, default=None)

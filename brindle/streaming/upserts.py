@@ -22,7 +22,7 @@ def upsert(spark: SparkSession, index: str, embedder, batch: DataFrame, batch_id
     mark = f"stream-{batch_id}.done"
     if files.exists(mark):
         return
-    w = IndexWriter.open(spark, index, embedder) if files.exists("manifest.json") else IndexWriter.create(spark, index, embedder, **knobs)
+    w = IndexWriter.open(spark, index, embedder) if files.versions() else IndexWriter.create(spark, index, embedder, **knobs)
     last = Window.partitionBy("chunk_id").orderBy(F.desc("changed_at"), F.desc("_m"))
     b = stored(batch.withColumn("_m", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_m"))
     live = w.live().select("chunk_id", "sha256")
