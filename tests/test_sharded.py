@@ -3,11 +3,11 @@
 import random
 
 from brindle.operators import mutation
-from brindle.session import session
 
 
-def test_blocks_go_on_filling_the_open_shard():
-    spark, rng = session(master="local[4]", partitions=4), random.Random(1)
+
+def test_blocks_go_on_filling_the_open_shard(spark):
+    rng = random.Random(1)
     sizes = [rng.choice([0, 0, 3, 20, 50, 99, 100, 101, 250, rng.randint(0, 60)]) for _ in range(400)]
     want, shard, at = [], 0, 0
     for i, n in enumerate(sizes):
