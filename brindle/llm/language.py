@@ -1,7 +1,7 @@
 """Language identification by rank-order n-gram profiles (out-of-place distance).
 
-A profile is the list of a language's most frequent n-grams (1 to 3 letters, words padded with a
-boundary), most frequent first. A text is ranked the same way; its distance to a language is the sum
+A profile is the list of a language's most frequent n-grams (1 to 3 characters of a document's words, with
+one boundary before, between and after them), most frequent first. A text is ranked the same way; its distance to a language is the sum
 over its own top n-grams of how far each is out of place, or the profile's length where it is absent.
 
 Defined results: a null text, an empty one and one without any letter give ``und`` and score 0; equal
