@@ -250,6 +250,7 @@ def _split(rows: DataFrame, block: int, pivots: int = 16, levels: int = 2) -> Da
             return done.unionByName(big.withColumn("_p", F.explode(pair)).select("region", "f1", "f2", "w", "members", "homes", "path", "block", "_p.a", "_p.z"))
         pick_ = big.groupBy("region", F.pmod("f1", F.lit(pivots)).alias("_b")).agg(F.min("f1").alias("f1"))
         pv = big.join(pick_.select("region", "f1"), ["region", "f1"], "left_semi").select("region", F.col("members").alias("pivot"), F.explode(F.sequence(F.lit(0), F.ceil("_n").cast("int") - 1)).alias("part"))
+        pv = stored(pv)  # a cogroup of two plans over the same rows can't tell their columns apart
         rows = stored(_cells(big.withColumn("part", F.pmod(F.xxhash64("f1", "f2"), F.ceil("_n")).cast("int")).drop("_n", "_m"), pv))
     return done
 
