@@ -16,8 +16,8 @@ link if their distance is at most ``RADIUS`` (100 * intersection >= 90 * union).
    joined recursively, a pair counting only in the lesser of its two home cells. In a small or
    unsplittable cell pairs are ruled out by |d(x,p) - d(y,p)| > RADIUS, ruled in by
    d(x,p) + d(y,p) <= RADIUS, and else verified on the sets. A region of more than ``BLOCK`` classes is
-   (or ``BYTES`` of sets) is first split by pivots in Spark, and what stays larger is joined in pairs of hashed
-   blocks, so that no task holds more than about two blocks.
+   (or ``BYTES`` of sets) is first split by pivots in Spark, and what stays larger, or is such that pivots don't
+   split it, is joined in pairs of hashed blocks, so that no task holds much more than ``BLOCK`` classes.
 
 Defined results: documents without words, and null texts, have an empty set, link with nothing and are
 their own component; fewer than five words make one shingle; repeated rows are documents of their own
@@ -151,13 +151,14 @@ _NONE = np.zeros((0, 2), np.int64)
 _EPS = 1e-9
 
 
-def join(sets: Sets, idx: np.ndarray, leaf: int = 32, pivots: int = 8) -> np.ndarray:
-    """All linked pairs among sets ``idx``, as rows (i, j) of positions; see the module's step 3."""
+def join(sets: Sets, idx: np.ndarray, leaf: int = 32, pivots: int = 8, side: np.ndarray | None = None) -> np.ndarray:
+    """All linked pairs among sets ``idx``, as rows (i, j) of positions; see the module's step 3. ``side``: only pairs whose sides differ."""
     m = len(idx)
     if m <= leaf:
         out = [_NONE]
         for k in range(m - 1):
             ys = idx[k + 1 :]
+            ys = ys if side is None else ys[side[ys] != side[idx[k]]]
             ys = ys[sets.linked(idx[k], ys)]
             out.append(np.stack([np.full(len(ys), idx[k]), ys], 1))
         return np.concatenate(out)
@@ -174,7 +175,7 @@ def join(sets: Sets, idx: np.ndarray, leaf: int = 32, pivots: int = 8) -> np.nda
         of = dict(zip(idx.tolist(), home.tolist()))
         for k in range(pivots):
             if (home == k).any():
-                pairs = join(sets, idx[inside[k]], leaf, pivots)
+                pairs = join(sets, idx[inside[k]], leaf, pivots, side)
                 if len(pairs):
                     first = np.array([min(of[i], of[j]) for i, j in pairs.tolist()])
                     out.append(pairs[first == k])
@@ -183,6 +184,9 @@ def join(sets: Sets, idx: np.ndarray, leaf: int = 32, pivots: int = 8) -> np.nda
     for k in range(m - 1):
         apart = np.abs(d[:, k + 1 :] - d[:, k : k + 1]).max(0)
         sure = (d[:, k + 1 :] + d[:, k : k + 1]).min(0) <= RADIUS - _EPS
+        if side is not None:
+            across = side[idx[k + 1 :]] != side[idx[k]]
+            apart, sure = np.where(across, apart, 2.0), sure & across
         ask = np.flatnonzero((apart <= RADIUS + _EPS) & ~sure)
         yes = np.concatenate([np.flatnonzero(sure), ask[sets.linked(idx[k], idx[k + 1 + ask])] if len(ask) else ask])
         if len(yes):
@@ -202,11 +206,8 @@ def _join_region(t: pa.Table) -> pa.Table:
     key, w = key[keep], t["w"].to_numpy()[keep]
     raw = t["members"].take(pa.array(keep)).to_pylist()
     sets = Sets([np.frombuffer(x, U) for x in raw])
-    pairs = join(sets, np.arange(len(keep)))
-    a, z = t["a"][0].as_py(), t["z"][0].as_py()
-    if a != z:
-        blk = t["block"].to_numpy()[keep]
-        pairs = pairs[blk[pairs[:, 0]] != blk[pairs[:, 1]]]
+    two = t["a"][0].as_py() != t["z"][0].as_py()
+    pairs = join(sets, np.arange(len(keep)), side=t["block"].to_numpy()[keep] if two else None)
     homes = np.array(t["homes"].take(pa.array(keep)).to_pylist(), np.int64).reshape(len(keep), -1)
     for lvl, p in enumerate(t["path"][0].as_py()):
         pairs = pairs[np.minimum(homes[pairs[:, 0], lvl], homes[pairs[:, 1], lvl]) == p]
@@ -228,9 +229,26 @@ def _join_region(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(c) for c in cols], names=["f1", "f2", "linked", "r1", "r2"])
 
 
+_FIELDS = ("region", "f1", "f2", "w", "members", "homes", "path")
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.lit(0) for c in ("block", "a", "z")}).select(*_FIELDS, "block", "a", "z")
+
+
+def _paired(big: DataFrame) -> DataFrame:
+    """Regions in pairs of hashed blocks; a pair holds about what the bounds allow (_n is how often they are exceeded)."""
+    count = F.ceil(2 * F.col("_n")).cast("int")
+    big = big.withColumn("block", F.pmod(F.xxhash64("f1", "f2"), count).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), count - 1), lambda o: F.struct(F.least(o, "block").alias("a"), F.greatest(o, "block").alias("z")))
+    return big.withColumn("_p", F.explode(pair)).select(*_FIELDS, "block", "_p.a", "_p.z")
+
+
 def _split(rows: DataFrame, block: int, pivots: int = 16, levels: int = 2) -> DataFrame:
     """Splits regions of more than ``block`` classes or ``BYTES``: by pivots up to ``levels`` times, then into pairs of blocks.
 
+    A region that pivots don't split (near copies of one text are guests of every cell) goes into pairs of blocks at once,
+    else each level would copy it ``pivots`` times.
     ``rows``: region (array), f1, f2, w, members, homes (array), path (array). Adds block, a, z."""
     rows = rows.withColumn("region", F.array(F.col("region")))
     weight = F.sum(F.greatest(F.lit(1.0 / block), F.octet_length("members") / F.lit(float(BYTES))))
@@ -238,30 +256,32 @@ def _split(rows: DataFrame, block: int, pivots: int = 16, levels: int = 2) -> Da
     for level in range(levels + 1):
         n = stored(rows.groupBy("region").agg(weight.alias("_n"), F.count(F.lit(1)).alias("_m")).where("_n > 1.001 and _m > 1"))
         if not n.head(1):
-            small = rows.withColumn("block", F.lit(0)).withColumn("a", F.lit(0)).withColumn("z", F.lit(0))
-            return small if done is None else done.unionByName(small)
-        small = rows.join(n, "region", "left_anti").withColumn("block", F.lit(0)).withColumn("a", F.lit(0)).withColumn("z", F.lit(0))
+            return _whole(rows) if done is None else done.unionByName(_whole(rows))
+        small = _whole(rows.join(n, "region", "left_anti"))
         done = small if done is None else done.unionByName(small)
         big = rows.join(n, "region")
         if level == levels:
-            count = F.ceil("_n").cast("int")
-            big = big.withColumn("block", F.pmod(F.xxhash64("f1", "f2"), count).cast("int"))
-            pair = F.transform(F.sequence(F.lit(0), count - 1), lambda o: F.struct(F.least(o, "block").alias("a"), F.greatest(o, "block").alias("z")))
-            return done.unionByName(big.withColumn("_p", F.explode(pair)).select("region", "f1", "f2", "w", "members", "homes", "path", "block", "_p.a", "_p.z"))
+            return done.unionByName(_paired(big))
         pick_ = big.groupBy("region", F.pmod("f1", F.lit(pivots)).alias("_b")).agg(F.min("f1").alias("f1"))
         pv = big.join(pick_.select("region", "f1"), ["region", "f1"], "left_semi").select("region", F.col("members").alias("pivot"), F.explode(F.sequence(F.lit(0), F.ceil("_n").cast("int") - 1)).alias("part"))
         pv = stored(pv)  # a cogroup of two plans over the same rows can't tell their columns apart
-        rows = stored(_cells(big.withColumn("part", F.pmod(F.xxhash64("f1", "f2"), F.ceil("_n")).cast("int")).drop("_n", "_m"), pv))
+        placed = stored(_cells(big.withColumn("part", F.pmod(F.xxhash64("f1", "f2"), F.ceil("_n")).cast("int")).drop("_n", "_m"), pv))
+        sizes = placed.select("region", F.explode("cells").alias("cell")).groupBy("region", "cell").agg(F.count(F.lit(1)).alias("_c")).groupBy("region").agg(F.max("_c").alias("_most"), F.sum("_c").alias("_all"))
+        tough = stored(n.join(sizes, "region").where("_most > 0.7 * _m or _all > 2 * _m").select("region", "_n"))
+        done = done.unionByName(_paired(placed.join(tough, "region")))
+        one = lambda c: F.array(F.col(c))
+        rows = placed.join(tough, "region", "left_anti").withColumn("cell", F.explode("cells"))
+        rows = rows.select(F.concat("region", one("cell")).alias("region"), "f1", "f2", "w", "members", F.concat("homes", one("home")).alias("homes"), F.concat("path", one("cell")).alias("path"))
     return done
 
 
 def _cells(rows: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Each row in its nearest pivot's cell and, as a guest, in those at most 2 * RADIUS further. A part of a region meets its pivots once."""
+    """Adds home, each row's nearest pivot, and cells: its own and, as a guest, those at most 2 * RADIUS further. A part of a region meets its pivots once."""
 
     def place(x: pa.Table, p: pa.Table) -> pa.Table:
         ps = [np.frombuffer(q, U) for q in sorted(set(p["pivot"].to_pylist()))]
-        row, cell, home = [], [], []
-        for r, m in enumerate(x["members"].to_pylist()):
+        cells, home = [], []
+        for m in x["members"].to_pylist():
             s = np.frombuffer(m, U)
             d = []
             for q in ps:
@@ -269,18 +289,13 @@ def _cells(rows: DataFrame, pivots: DataFrame) -> DataFrame:
                 both = int((q[np.minimum(i, len(q) - 1)] == s).sum())
                 d.append(1 - both / (len(s) + len(q) - both))
             near = int(np.argmin(d))
-            for k, far in enumerate(d):
-                if far <= d[near] + 2 * RADIUS + _EPS:
-                    row.append(r)
-                    cell.append(k)
-                    home.append(near)
-        x = x.drop_columns(["part"]).take(pa.array(row, pa.int64()))
-        return x.append_column("cell", pa.array(cell, pa.int64())).append_column("home", pa.array(home, pa.int64()))
-
-    kind = "region array<long>, f1 long, f2 long, w long, members binary, homes array<long>, path array<long>, cell long, home long"
-    r = rows.select("region", "f1", "f2", "w", "members", "homes", "path", "part").groupBy("region", "part").cogroup(pivots.groupBy("region", "part")).applyInArrow(place, kind)
-    one = lambda c: F.array(F.col(c))
-    return r.select(F.concat("region", one("cell")).alias("region"), "f1", "f2", "w", "members", F.concat("homes", one("home")).alias("homes"), F.concat("path", one("cell")).alias("path"))
+            cells.append([k for k, far in enumerate(d) if far <= d[near] + 2 * RADIUS + _EPS])
+            home.append(near)
+        x = x.drop_columns(["part"])
+        return x.append_column("home", pa.array(home, pa.int64())).append_column("cells", pa.array(cells, pa.list_(pa.int64())))
+
+    kind = "region array<long>, f1 long, f2 long, w long, members binary, homes array<long>, path array<long>, home long, cells array<long>"
+    return rows.select(*_FIELDS, "part").groupBy("region", "part").cogroup(pivots.groupBy("region", "part")).applyInArrow(place, kind)
 
 
 def _members(docs: DataFrame, reps: DataFrame, block: int) -> DataFrame:

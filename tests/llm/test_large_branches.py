@@ -52,3 +52,26 @@ def want(near):
 def test_stage_two_of_the_pipeline_splits_large_regions(near, want, block):
     got = near_duplicates.representatives(near, block)
     assert sorted(r["doc_id"] for r in got.collect()) == sorted({c for *_, c in want})
+
+
+@pytest.mark.parametrize("block, size", [(40, 32 << 20), (7, 32 << 20), (2048, 20_000)])
+def test_op6_links_all_in_large_regions(near, want, monkeypatch, block, size):
+    monkeypatch.setattr(near_duplicates, "BYTES", size)
+    assert rows(near_duplicates.link(near, block)) == want
+
+
+def test_op6_copies_a_region_that_pivots_do_not_split_once_a_block(near, monkeypatch):
+    """A group of near copies has every pivot in reach: cells would hold it 16 times a level."""
+    got = []
+    whole = near_duplicates._split
+    monkeypatch.setattr(near_duplicates, "_split", lambda r, b: got.append((r, whole(r, b))) or got[-1][1])
+    near_duplicates.link(near.where("doc_id < 90"), 30)
+    (before, after), = got
+    assert before.count() == 90 and after.count() <= 90 * 7 and max(r["count"] for r in after.groupBy("region", "path", "a", "z").count().collect()) < 60
+
+
+def test_op6_parts_without_rows(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BYTES", 4000)
+    w = [f"u{i}" for i in range(3000)]
+    d = spark.createDataFrame([(1, " ".join(w)), (2, " ".join([*w, "end"])), (3, " ".join(w[:2000]))], "doc_id long, text string")
+    assert rows(near_duplicates.link(d)) == by_hand(d)
