@@ -264,8 +264,8 @@ def intervals(d: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
     again = t.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
     s = repeats.where_again(t, again.select("anchor", "n", (F.col("lo") != F.col("hi")).alias("several")))
     c = s.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(1 << 62))).alias("first"))
-    hot = hot_counts(c.select("anchor", "ctx", F.col("n").alias("_n")), ["anchor", "ctx"], s.count())
-    s = spread_join(s, c, ["anchor", "ctx"], hot, F.struct("h", "place"))
+    often = hot_counts(c.select("anchor", "ctx", F.col("n").alias("_n")), ["anchor", "ctx"], s.count())
+    s = spread_join(s, c, ["anchor", "ctx"], often, F.struct("h", "place"))
     s = stored(s.select("anchor", "ctx", "doc_id", "h", "place", "several", (F.col("n") > 1).alias("settled"), F.coalesce(F.coalesce("doc_id", F.lit(1 << 62)) == F.col("first"), F.lit(False)).alias("lead")))
     whole = s.where("settled").select("doc_id", "h", F.shiftright("place", 24).alias("a"), (F.shiftright("place", 24) + F.col("place").bitwiseAND(4095)).alias("z"))
     lead = s.where("several and lead")

@@ -1,8 +1,10 @@
 """Branches that only large tables take, on small ones: regions and anchors above the bounds give the same rows as below them."""
 
+from collections import Counter
+
 import pytest
 
-from brindle.llm import near_duplicates
+from brindle.llm import _tables, near_duplicates, suffix_dedup
 
 BASE = [f"w{i}" for i in range(400)]
 
@@ -75,3 +77,29 @@ def test_op6_parts_without_rows(spark, monkeypatch):
     w = [f"u{i}" for i in range(3000)]
     d = spark.createDataFrame([(1, " ".join(w)), (2, " ".join([*w, "end"])), (3, " ".join(w[:2000]))], "doc_id long, text string")
     assert rows(near_duplicates.link(d)) == by_hand(d)
+
+
+def removed(docs, length=200):
+    """doc_id and how many bytes go, from all strings of ``length`` bytes."""
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    seen = Counter(b[i : i + length] for b in texts.values() for i in range(len(b) - length + 1))
+    out = []
+    for d, b in sorted(texts.items()):
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        out.append((d, sum(gone)))
+    return out
+
+
+@pytest.mark.parametrize("many", [1 << 16, 10])
+def test_op9_tells_hot_anchors_by_hash(near, monkeypatch, many):
+    """Anchors in more contexts than ``hot`` aren't sorted in one task, whether or not some context is itself very frequent."""
+    calls = []
+    windows = suffix_dedup._windows
+    monkeypatch.setattr(suffix_dedup, "_windows", lambda length: calls.append(length) or windows(length))
+    monkeypatch.setattr(_tables.hot_counts, "__defaults__", (1024, many))
+    d = near.where("doc_id < 90")
+    got = suffix_dedup.dedup(d, hot=5, with_text=False)
+    assert calls == [200] and rows(got.select("doc_id", "n_removed")) == removed(d)
