@@ -155,6 +155,19 @@ def _fold(hashes: list[bytes], levels: int | None = None) -> bytes:
     return hashes[0]
 
 
+def folded(hashes) -> bytes:
+    """The root over hashes as they come, of which there is one at least; no more than a subtree's are held."""
+    roots, some = [], []
+    for h in hashes:
+        some.append(h)
+        if len(some) == SUBTREE:
+            roots.append(_fold(some))
+            some = []
+    if some:
+        roots.append(_fold(some, SUBTREE.bit_length() - 1 if roots else None))
+    return _fold(roots)
+
+
 def merkle_root(rows: DataFrame, sha: str = "sha256", subtree: int = SUBTREE) -> str:
     """The root over all rows in order, deleted ones too; 64 zeros if there are none.
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,7 +156,7 @@ def archive_postings(spark, sf):
 def archive_shards(spark, sf):
     """Where each row's text is: shard and first byte."""
     a = A.Archive(_v2(spark, sf, with_lexical=False))
-    return spark.createDataFrame([(i, m[0], m[3]) for i, m in enumerate(a.map)], "row long, shard_id long, byte_offset long")
+    return spark.createDataFrame(pa.table({"row": np.arange(a.n), "shard_id": a.shard_ids(), "byte_offset": a.map["at"].astype(np.int64)}))
 
 
 def archive_search(spark, sf):
@@ -170,16 +172,43 @@ def archive_search(spark, sf):
 
 
 def _rewritten(path: str, out: str, change: dict) -> str:
+    """A copy with some entries changed: by a function of their bytes, or, for the texts, of their blocks."""
     with zipfile.ZipFile(path) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as w:
         for n in z.namelist():
-            raw = z.read(n)
+            blocks = _blocks(z, n)
             if n in change:
-                raw = change[n](raw)
-            if raw is not None:
-                w.writestr(n, raw)
+                blocks = change[n](blocks) if n == "chunks.jsonl" else [change[n](b"".join(blocks))]
+                if blocks == [None]:
+                    continue
+            with w.open(zipfile.ZipInfo(n), "w", force_zip64=z.getinfo(n).file_size > zipfile.ZIP64_LIMIT // 2) as f:
+                for block in blocks:
+                    f.write(block)
     return out
 
 
+def _blocks(z: zipfile.ZipFile, name: str):
+    with z.open(name) as f:
+        while block := f.read(A.BLOCK):
+            yield block
+
+
+def _once(old: bytes, new: bytes):
+    """A function of blocks that replaces the first occurrence of some bytes."""
+
+    def run(blocks):
+        rest, done = b"", False
+        for block in blocks:
+            rest += block
+            if not done and old in rest:
+                rest, done = rest.replace(old, new, 1), True
+            keep = 0 if done else len(old) - 1
+            yield rest[: len(rest) - keep]
+            rest = rest[len(rest) - keep :]
+        yield rest
+
+    return run
+
+
 def _set(key: str, value):
     def run(raw: bytes) -> bytes:
         m = json.loads(raw)
@@ -201,23 +230,27 @@ def open_validation(spark, sf):
     def moved(raw: bytes) -> bytes:
         return raw[: size - 8] + (1 << 40).to_bytes(8, "little") + raw[size:]
 
+    spaced, sha = _once(b"\n", b"\n\n"), hashlib.sha256()
     with zipfile.ZipFile(a) as z:
-        spaced = z.read("chunks.jsonl").replace(b"\n", b"\n\n", 1)
-        rehashed = hashlib.sha256(z.read("vectors.bin") + spaced).hexdigest()
+        for blocks in (_blocks(z, "vectors.bin"), spaced(_blocks(z, "chunks.jsonl"))):
+            for block in blocks:
+                sha.update(block)
     faults = {
         "no vectors": (b, {"vectors.bin": lambda r: None}), "other version": (b, {"manifest.json": _set("spec_version", "9")}), "other kind": (b, {"manifest.json": _set("kind", "x")}), "other binarizer": (b, {"manifest.json": _set("binarizer/kind", "x")}),
         "a vector short": (b, {"vectors.bin": lambda r: r[: -C.DIM * C.STACKS // 8]}), "a map entry short": (b, {"chunk_map.bin": lambda r: r[:-size]}), "id out of range": (b, {"chunk_map.bin": moved}), "id not ended": (b, {"chunk_ids.bin": lambda r: r[:-1]}),
         "id no UTF-8": (b, {"chunk_ids.bin": lambda r: b"\xff" + r[1:]}), "live count": (b, {"manifest.json": _set("chunks/live_count", lambda n: n + 1)}), "postings of other rows": (b, {A.BM25[3]: _set("num_docs", lambda n: n + 1)}), "part of the postings": (b, {A.BM25[0]: lambda r: None}),
-        "chunk count": (a, {"manifest.json": _set("corpus/chunk_count", lambda n: n + 1)}), "a changed text": (a, {"chunks.jsonl": lambda r: r.replace(b'"text": "', b'"text": "x', 1)}), "half a vector": (a, {"vectors.bin": lambda r: r[:-1]}), "a long mean": (a, {"manifest.json": _set("binarizer/mean_vector_b64", "AAAA")}),
-        "nothing": (b, {}), "nothing, format 1": (a, {}), "a blank line": (a, {"chunks.jsonl": lambda r: spaced, "manifest.json": _set("corpus/build_hash", rehashed)}),
+        "chunk count": (a, {"manifest.json": _set("corpus/chunk_count", lambda n: n + 1)}), "a changed text": (a, {"chunks.jsonl": _once(b'"text": "', b'"text": "x')}), "half a vector": (a, {"vectors.bin": lambda r: r[:-1]}), "a long mean": (a, {"manifest.json": _set("binarizer/mean_vector_b64", "AAAA")}),
+        "nothing": (b, {}), "nothing, format 1": (a, {}), "a blank line": (a, {"chunks.jsonl": spaced, "manifest.json": _set("corpus/build_hash", sha.hexdigest())}),
     }
     rows = []
     for name, (path, change) in faults.items():
+        file = _rewritten(path, _file(spark, "f.kb"), change)
         try:
-            A.Archive(_rewritten(path, _file(spark, "f.kb"), change))
+            A.Archive(file)
             rows.append((name, 0))
         except A.ArchiveError as x:
             rows.append((name, x.step))
+        os.remove(file)
     return spark.createDataFrame(rows, "fault string, step long")
 
 

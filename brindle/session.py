@@ -62,6 +62,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def files_of(root: str):
+    """The file system (of any kind that Arrow knows) of a folder, and its path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}")
+
+
 #: Tables that ``stored`` has written, oldest first.
 _STORED: list[str] = []
 

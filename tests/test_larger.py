@@ -38,3 +38,67 @@ def test_searches_write_no_more_than_their_tokens_postings(spark, monkeypatch):
         catalog.queries()[name](spark, sf)
     of_all = lexical.term_counts(catalog._docs(spark, sf)).count()
     assert seen and all(d.count() < of_all / 2 for d in seen)
+
+
+def test_no_texts_or_postings_reach_the_driver(spark, tmp_path, monkeypatch):
+    from brindle.functions.embedding import HashEmbedder
+    from brindle.sources import archive as A
+
+    def refused(df, *a, **kw):
+        assert not {"text", "body", "token", "code"} & set(df.columns), df.columns
+        return real(df, *a, **kw)
+
+    real = DataFrame.toLocalIterator
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    e, q = HashEmbedder(64), A.SignCodec(64, 2, 1, "srht")
+    d = spark.createDataFrame([(i, i, f"c{i}", f"text {i} of {i % 7}", '{"n": %d}' % i, i % 5 == 0) for i in range(60)], "row long, pos long, chunk_id string, text string, meta string, tombstone boolean")
+    rows = e.attach(d).withColumn("code", q.packed(F.col("vector"))).repartition(5)
+    one, two = str(tmp_path / "a.kb"), str(tmp_path / "a.kbi")
+    A.write_v1(rows, one, e, q)
+    A.write_v2(rows, two, A._embedder(e), e.prompts, q, 64, shard_max_bytes=300)
+    want = [(i, f"c{i}", f"text {i} of {i % 7}") for i in range(60)]
+    assert _rows(A.read(spark, one), "row", "chunk_id", "text") == _rows(A.read(spark, two), "row", "chunk_id", "text") == want
+    a = A.Archive(two)
+    p = lexical.postings(d.where("not tombstone")).withColumn("impact", F.col("impact").cast("float").cast("double"))
+    monkeypatch.setattr(A, "POSTINGS", 16)
+    assert _rows(a.postings(spark), "row", "token", "impact") == _rows(p, "row", "token", "impact")
+    assert _rows(a.postings(spark, ["of"]), "row", "token", "impact") == _rows(p.where("token = 'of'"), "row", "token", "impact")
+
+
+def test_more_shards_than_two_bytes_number():
+    from brindle.sources import archive as A
+
+    e = np.array([(4464, 0, 1, 7, 9, 0), (3, 0, 0, 0, 5, 0)], A.ENTRY)
+    assert A.ENTRY.itemsize == A.MAP.size and A._places("s/", e) == [("s/shard-70000.bin", 7, 9), ("s/shard-0003.bin", 0, 5)]
+
+
+def test_a_root_folds_as_hashes_come(monkeypatch):
+    import hashlib
+
+    from brindle.operators import mutation
+
+    monkeypatch.setattr(mutation, "SUBTREE", 4)
+    for n in range(1, 23):
+        h = [hashlib.sha256(str(i).encode()).digest() for i in range(n)]
+        assert mutation.folded(iter(h)) == mutation._fold(h)
+
+
+def test_a_vocabulary_is_read_in_pieces(tmp_path, monkeypatch):
+    import json
+    import zipfile
+
+    from brindle.sources import archive as A
+
+    want = {f'w"\\{i}é\n': i for i in range(50)}
+    for text, ok in ((json.dumps(want), True), (json.dumps(want, ensure_ascii=False, indent=1), True), ("{}", True), (" { } ", True), (json.dumps(want)[:-9], False), ("", False), ("[1]", False)):
+        with zipfile.ZipFile(tmp_path / "v", "w") as z:
+            z.writestr(A.BM25[4], text)
+        for block in (7, 64, 1 << 20):
+            monkeypatch.setattr(A, "BLOCK", block)
+            a = object.__new__(A.Archive)
+            a.zip = zipfile.ZipFile(tmp_path / "v")
+            if ok:
+                assert dict(a.vocab()) == (want if "w" in text else {})
+            else:
+                with pytest.raises(ValueError):
+                    list(a.vocab())
