@@ -102,3 +102,79 @@ def test_a_vocabulary_is_read_in_pieces(tmp_path, monkeypatch):
             else:
                 with pytest.raises(ValueError):
                     list(a.vocab())
+
+
+def _weights(spark, ix):
+    live = ix.hot.where("not tombstone").select("row").join(ix.cold.select("row", "text"), "row")
+    return [(r, t, round(x, 9)) for r, t, x in _rows(lexical.postings(live), "row", "token", "impact")]
+
+
+def test_a_version_adds_only_its_own_rows_postings(spark, tmp_path):
+    from brindle.functions.embedding import HashEmbedder
+    from brindle.plans.index import Index, IndexWriter
+
+    e, path = HashEmbedder(32), str(tmp_path / "ix")
+    rows = lambda *r: spark.createDataFrame(list(r), "chunk_id string, text string, pos long")
+    w = IndexWriter.create(spark, path, e, dim=32, k=2)
+    w.add_chunks(rows(("a", "red green green", 2), ("b", "the red fox", 0), ("c", "", 1), ("d", "the the end", 3)))
+    w.commit()
+    w.update_chunks(["a"], rows(("a", "green end of all", 0)))
+    w.delete_chunks(["d"])
+    w.commit()
+    assert {r["row"] for r in spark.read.parquet(f"{path}/postings/v=2").collect()} == {4}
+    for v in (1, 2):
+        ix = Index(spark, path, v)
+        assert [(r, t, round(x, 9)) for r, t, x in _rows(ix.impacts(), "row", "token", "impact")] == _weights(spark, ix)
+    assert [r["chunk_id"] for r in ix.search("green", embedder=e, k=2, alpha=0.0, min_sim="off").collect()][0] == "a" and w.m["n_tokens"] == 7
+    w.compact()
+    ix = Index(spark, path)
+    assert [(r, t, round(x, 9)) for r, t, x in _rows(ix.impacts(), "row", "token", "impact")] == _weights(spark, ix)
+    assert _rows(ix.hot, "row", "chunk_id") == [(0, "b"), (1, "c"), (2, "a")] and ix.manifest["postings"] == [3] == ix.manifest["cold"]
+
+
+def test_an_index_with_weights_for_postings_goes_on(spark, tmp_path):
+    import json
+
+    from brindle.functions.embedding import HashEmbedder
+    from brindle.plans.index import Index, IndexWriter
+
+    e, path = HashEmbedder(32), str(tmp_path / "ix")
+    rows = spark.createDataFrame([("a", "red green green", 0), ("b", "the red fox", 1)], "chunk_id string, text string, pos long")
+    w = IndexWriter.create(spark, path, e, dim=32, k=2)
+    w.add_chunks(rows)
+    w.commit()
+    hot, cold = w.hot().drop("dl").localCheckpoint(), w.cold()
+    hot.write.mode("overwrite").parquet(f"{path}/hot/v=1")
+    lexical.postings(cold.select("row", "text")).write.mode("overwrite").parquet(f"{path}/postings/v=1")
+    m = json.load(open(f"{path}/manifests/v=1.json"))
+    for f in (tmp_path / "ix" / "manifests").iterdir():
+        f.unlink()
+    (tmp_path / "ix" / "manifests" / "v=1.json").write_text(json.dumps({k: v for k, v in m.items() if k not in ("postings", "n_tokens")}))
+    one = Index(spark, path)
+    assert [(r, t, round(x, 9)) for r, t, x in _rows(one.impacts(), "row", "token", "impact")] == _weights(spark, one)
+    w = IndexWriter.open(spark, path, e)
+    w.update_chunks(["b"], spark.createDataFrame([("c", "a new fox")], "chunk_id string, text string"))
+    w.commit()
+    two = Index(spark, path)
+    assert [(r, t, round(x, 9)) for r, t, x in _rows(two.impacts(), "row", "token", "impact")] == _weights(spark, two) and two.manifest["n_tokens"] == 5
+
+
+def test_texts_are_shuffled_once_by_a_commit(spark, tmp_path, monkeypatch):
+    from brindle.functions.embedding import HashEmbedder
+    from brindle.operators import mutation
+    from brindle.plans import index as I
+
+    def watched(df, *a):
+        assert "text" not in df.columns
+        return real(df, *a)
+
+    real = I.stored
+    for mod in (I, mutation, lexical):
+        monkeypatch.setattr(mod, "stored", watched)
+    rows = lambda n: spark.createDataFrame([(str(i), f"text {i % n}") for i in range(20)], "chunk_id string, text string")
+    w = I.IndexWriter.create(spark, str(tmp_path / "ix"), HashEmbedder(32), dim=32, k=2)
+    w.add_chunks(rows(20))
+    w.commit()
+    w.sync(rows(15))
+    w.commit()
+    assert w.compact() == 3 and w.live_count == w.total_rows == 20
