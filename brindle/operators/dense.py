@@ -76,24 +76,79 @@ def products(rows: DataFrame, queries: DataFrame, k: int | None = None, by=None)
     return in_blocks(rows.select("row", "embedding"), queries.select("qid", "q"), run, "qid long, row long, sim double")
 
 
-def distances(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, row, dist: differing bits of all rows' codes (row, code) with all queries' (qid, q)."""
+def _words(col) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+
+
+def _differing(codes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if codes.shape[1] != len(x):
+        raise ValueError(f"codes of {codes.shape[1]} and {len(x)} words")
+    return np.bitwise_count((codes ^ x).view(np.uint64)).sum(1, dtype=np.int64)
+
+
+def distances(rows: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """qid, row, dist: differing bits of all rows' codes (row, code) with all queries' (qid, q).
+
+    With ``k`` only each block's k nearest (ties to the lower row), from which the k nearest overall are sure to come."""
 
     def run(q: pa.Table, r: pa.Table) -> pa.Table:
         ids, qs = r["row"].to_numpy(), q["qid"].to_numpy()
-        words = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+        if k is not None and k < len(ids):
+            a, top, near = _words(r["code"]), np.zeros((len(qs), k), np.int64), np.zeros((len(qs), k), np.int64)
+            order = np.argsort(ids, kind="stable")
+            ids, a = ids[order], a[order]
+            for i, x in enumerate(_words(q["q"])):
+                d = _differing(a, x)
+                few = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                few = few[np.argsort(d[few], kind="stable")[:k]]
+                top[i], near[i] = ids[few], d[few]
+            return pa.table({"qid": np.repeat(qs, k), "row": top.ravel(), "dist": near.ravel()})
         d = np.zeros((len(qs), len(ids)), np.int64)
         if len(ids) and len(qs):
-            a, b = words(r["code"]), words(q["q"])
-            if a.shape[1] != b.shape[1]:
-                raise ValueError(f"codes of {a.shape[1]} and {b.shape[1]} words")
-            for i, x in enumerate(b):
-                d[i] = np.bitwise_count((a ^ x).view(np.uint64)).sum(1)
+            a = _words(r["code"])
+            for i, x in enumerate(_words(q["q"])):
+                d[i] = _differing(a, x)
         return pa.table({"qid": np.repeat(qs, len(ids)), "row": np.tile(ids, len(qs)), "dist": d.ravel()})
 
     return in_blocks(rows.select("row", "code"), queries.select("qid", "q"), run, "qid long, row long, dist long")
 
 
+def rank_correlations(rows: DataFrame, queries: DataFrame, digits: int = 9, block: int = 128) -> DataFrame:
+    """qid, rho: for each query (qid, q, qcode) the correlation of all rows' ordinal ranks by inner product (rounded) and by
+    differing bits of codes, ties to the lower row. Rows are row, embedding, code.
+
+    A task takes a block of queries and all rows, of which it holds vectors and codes: all pairs are compared, and none
+    is written."""
+    qb = max(1, -(-queries.count() // block))
+    u = F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int")
+    q = queries.select("qid", "q", "qcode").withColumn("_u", u)
+    r = rows.select("row", "embedding", "code").withColumn("_u", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        out = []
+        if q.num_rows and r.num_rows:
+            order = np.argsort(r["row"].to_numpy(), kind="stable")
+            x, codes, n = _words(r["embedding"])[order], _words(r["code"])[order], len(order)
+            v, qcodes = _matrix(q["q"]), _words(q["qcode"])
+            at, ranks, step = np.empty(n, np.int64), np.arange(n, dtype=np.int64), 1 << 16
+            for i in range(0, len(v), 8):
+                s = np.empty((len(v[i : i + 8]), n))
+                for j in range(0, n, step):
+                    s[:, j : j + step] = v[i : i + 8] @ x[j : j + step].astype(np.float64).T
+                s *= 10.0**digits
+                s = -np.sign(s) * np.floor(np.abs(s) + 0.5)  # halves away from zero, as in SQL
+                for y, c in zip(s, qcodes[i : i + 8]):
+                    d = _differing(codes, c)
+                    a, b = np.argsort(y, kind="stable"), np.argsort(d.astype(np.int16) if 64 * codes.shape[1] < 1 << 15 else d, kind="stable")
+                    at[a] = ranks
+                    gap = (at[b] - ranks).astype(np.float64)
+                    out.append(1 - 6 * float(gap @ gap) / (n * (n * n - 1)) if n > 1 else None)
+        return pa.table({"qid": q["qid"].slice(0, len(out)), "rho": pa.array(out, pa.float64())})
+
+    return q.groupBy("_u").cogroup(r.groupBy("_u")).applyInArrow(run, "qid long, rho double")
+
+
 def auto_floor(live: int, bits: int | None = None, dim: int | None = None) -> float:
     """The similarity that chance alone reaches about once in ``live`` rows, with a margin of one deviation."""
     z = math.sqrt(2 * math.log(max(live, 2))) + 1

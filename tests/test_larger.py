@@ -178,3 +178,30 @@ def test_texts_are_shuffled_once_by_a_commit(spark, tmp_path, monkeypatch):
     w.sync(rows(15))
     w.commit()
     assert w.compact() == 3 and w.live_count == w.total_rows == 20
+
+
+def test_blocks_give_only_their_nearest_codes(spark):
+    from brindle.operators import dense
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [int(x)]) for i, x in enumerate(rng.integers(0, 16, 300))], "row long, code array<long>")
+    q = df.where("row < 4").select(F.col("row").alias("qid"), F.col("code").alias("q"))
+    d = dense.distances(df, q, 10)
+    assert d.count() == 4 * 10  # one block
+    order = [F.col("dist"), F.col("row")]
+    pick = lambda x: _rows(dense.batch(x, 10, order), "qid", "row", "dist", "dense_rank")
+    assert pick(d) == pick(dense.distances(df, q)) and pick(dense.distances(df, q, 500)) == _rows(dense.batch(dense.distances(df, q), 500, order).where("dense_rank <= 10"), "qid", "row", "dist", "dense_rank")
+
+
+def test_rank_correlations_without_pairs(spark):
+    from brindle.operators import dense, evaluation
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(-1, 2, (90, 4)).astype(float)  # with many ties, and products of minus zero
+    df = spark.createDataFrame([(i, v.tolist(), [int(c)]) for i, (v, c) in enumerate(zip(x, rng.integers(0, 8, 90)))], "row long, embedding array<double>, code array<long>").repartition(3)
+    q = df.where("row % 9 = 0").select(F.col("row").alias("qid"), F.col("embedding").alias("q"), F.col("code").alias("qcode"))
+    got = {r["qid"]: r["rho"] for r in dense.rank_correlations(df, q, block=3).collect()}
+    h = dense.distances(df, q.select("qid", F.col("qcode").alias("q"))).select("qid", "row", (-F.col("dist")).alias("h"))
+    s = dense.products(df, q).select("qid", "row", F.round("sim", 9).alias("s")).join(h, ["qid", "row"])
+    want = {r["qid"]: r["rho"] for r in evaluation.spearman(s, "s", "h").collect()}
+    assert set(got) == set(want) and len(got) == 10 and all(abs(got[k] - want[k]) < 1e-9 for k in got)
